@@ -5,16 +5,20 @@ look-alike classes, are traversed with a weighted edit automaton that gives zero
 and ignorable characters and one to any other edit; the cheapest spelling within the budget (0 by
 default) becomes the token's. Tokens that no spelling matches are put right by table.
 
-Values without any character of interest are recognised inside the JVM and never reach Python.
+One pass over the values does both jobs: Arrow's regular expressions (linear time, over whole
+batches) pick out the values with a character of interest, which are dissected, and the words of all
+others are counted, combined before the shuffle.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,16 +54,17 @@ for _row in SHAPES.replace("\n", "|").split("|"):
 _RUSSIAN = frozenset("абвгдеёжзийклмнопрстуфхцчшщъыьэюяАБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ")
 
 _ARABIC_LETTER = "\\u0620-\\u064A\\u066E-\\u06D3\\u06FA-\\u06FF"
-_PAIRED_MARKS = "\\u0300-\\u0338\\u0653-\\u0655"
-#: A superset of the values that may hold a case, as a pattern that Java and Python share.
+_AL = "\\x{0620}-\\x{064A}\\x{066E}-\\x{06D3}\\x{06FA}-\\x{06FF}"
+#: A superset of the values that may hold a case (RE2).
 SUSPECT = (
-    f"[{IGNORABLE.replace(EMOJI_JOINER, '')}{BLANKS}{_PAIRED_MARKS}\\u0370-\\u052F\\uFB00-\\uFB06\\uFB1D-\\uFDFD\\uFE10-\\uFE19\\uFE30-\\uFE6B\\uFE70-\\uFEFC\\uFF01-\\uFFEE"
-    "\\u0629\\u0623\\u0625\\u0649\\u064A\\u0643\\u0660-\\u0669\\u06BE\\u06C1\\u06D5\\u2100-\\u214F\\u2160-\\u217F\\u2460-\\u24FF]"
-    f"|(?<![{_ARABIC_LETTER}\\u064B-\\u0652]){JOINER}|{JOINER}(?![{_ARABIC_LETTER}])"
-    f"|[\\p{{L}}\\p{{N}}]{EMOJI_JOINER}|{EMOJI_JOINER}[\\p{{L}}\\p{{N}} ]|^{EMOJI_JOINER}|{EMOJI_JOINER}$|[\\p{{L}} ]{EMOJI_STYLE}"
+    "[\\x{00AD}\\x{061C}\\x{0640}\\x{180E}\\x{200B}\\x{200E}\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{2066}-\\x{2069}\\x{FEFF}"
+    "\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}"
+    "\\x{0300}-\\x{0338}\\x{0653}-\\x{0655}\\x{0370}-\\x{052F}\\x{FB00}-\\x{FB06}\\x{FB1D}-\\x{FDFD}\\x{FE10}-\\x{FE19}\\x{FE30}-\\x{FE6B}\\x{FE70}-\\x{FEFC}\\x{FF01}-\\x{FFEE}"
+    "\\x{0629}\\x{0623}\\x{0625}\\x{0649}\\x{064A}\\x{0643}\\x{0660}-\\x{0669}\\x{06BE}\\x{06C1}\\x{06D5}\\x{2100}-\\x{214F}\\x{2160}-\\x{217F}\\x{2460}-\\x{24FF}"
+    "\\x{1D400}-\\x{1D7FF}\\x{1F100}-\\x{1F189}]"
+    f"|^\\x{{200C}}|\\x{{200C}}$|[^{_AL}\\x{{064B}}-\\x{{0652}}]\\x{{200C}}|\\x{{200C}}[^{_AL}]"
+    "|^\\x{200D}|\\x{200D}$|[\\pL\\pN ]\\x{200D}|\\x{200D}[\\pL\\pN ]|[\\pL ]\\x{FE0F}"
 )
-#: Letters, digits and symbols beyond the first plane that stand for ordinary ones.
-_ASTRAL = "[\\x{1D400}-\\x{1D7FF}\\x{1F100}-\\x{1F189}]"
 
 _TOKEN = regex.compile(f"[\\p{{L}}\\p{{M}}\\p{{N}}{IGNORABLE}{JOINER}_]+")
 _CYRILLIC = regex.compile("[\\u0400-\\u052f]")
@@ -135,9 +140,14 @@ def by_table(token: str, language: str) -> tuple[str, str, bool]:
     return fixed, own, sure or (fixed != plain and mixed)
 
 
-def dissect(value: str) -> tuple[str, list[str], list[tuple[int, str, str, str, bool]]]:
-    """Language, parts, and of the suspect parts (place, token, form by table, language, sure)."""
+def dissect(value: str, persian: bool = False) -> tuple[str, list[str], list[tuple[int, str, str, str, bool]]]:
+    """Language, parts, and of the suspect parts (place, token, form by table, language, sure).
+
+    ``persian``: the Arabic script is known to be Persian here.
+    """
     language = language_of(value)
+    if persian and language == "ar":
+        language = "fa"
     parts: list[str] = []
     asks: list[tuple[int, str, str, str, bool]] = []
     at = 0
@@ -223,23 +233,53 @@ class LookalikeTrie:
         return min(found)[2] if found else None
 
 
-_DISSECTED = "parts array<string>, asks array<struct<at:int,token:string,fixed:string,lang:string,sure:boolean,slice:string>>"
+_ASKS = "array<struct<at:int,token:string,fixed:string,lang:string,sure:boolean,slice:string>>"
+_ASK_TYPE = pa.list_(pa.struct([("at", pa.int32()), ("token", pa.string()), ("fixed", pa.string()), ("lang", pa.string()), ("sure", pa.bool_()), ("slice", pa.string())]))
+#: Words that a task counts before it passes the counts on.
+COUNTED_WORDS = 100_000
+_WORD = regex.compile(f"[\\p{{L}}\\p{{M}}\\p{{N}}{JOINER}]+")
 
 
-def _dissect_batches(keys: list[str]):
+def _dissect_batches(keys: int):
+    """Rows of two kinds: a suspect value with its parts, or a clean word with its count."""
+
     def run(batches):
+        seen: Counter = Counter()
+        names: list[str] = []
+        kinds: list[pa.DataType] = []
         for batch in batches:
+            names, kinds = batch.schema.names[:keys], [batch.schema.field(i).type for i in range(keys)]
+            doubtful = pc.match_substring_regex(batch.column(keys), SUSPECT)
+            for value in batch.column(keys).filter(pc.invert(doubtful)).to_pylist():
+                seen.update(_WORD.findall(value))
+            rows = batch.filter(doubtful)
             parts, asks = [], []
-            for value in batch.column(batch.num_columns - 1).to_pylist():
-                _, p, a = dissect(value)
+            for value, persian in zip(rows.column(keys).to_pylist(), rows.column(keys + 1).to_pylist(), strict=True):
+                _, p, a = dissect(value, bool(persian))
                 parts.append(p)
+                places = {at for at, *_ in a}
+                seen.update(_WORD.findall(" ".join(x for i, x in enumerate(p) if i not in places)))
                 asks.append([{"at": at, "token": t, "fixed": f, "lang": g, "sure": s, "slice": shape(t)} for at, t, f, g, s in a])
-            kind = pa.list_(pa.struct([("at", pa.int32()), ("token", pa.string()), ("fixed", pa.string()), ("lang", pa.string()), ("sure", pa.bool_()), ("slice", pa.string())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.list_(pa.string())), pa.array(asks, kind)], names=[*keys, "value", "parts", "asks"])
+            n = rows.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [*[rows.column(i) for i in range(keys + 1)], pa.array(parts, pa.list_(pa.string())), pa.array(asks, _ASK_TYPE), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())],
+                names=[*names, "value", "parts", "asks", "word", "n"])
+            if len(seen) >= COUNTED_WORDS:
+                yield _counted(seen, names, kinds)
+                seen = Counter()
+        if seen:
+            yield _counted(seen, names, kinds)
 
     return run
 
 
+def _counted(seen: Counter, names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    n = len(seen)
+    return pa.RecordBatch.from_arrays(
+        [*[pa.nulls(n, k) for k in kinds], pa.nulls(n, pa.string()), pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, _ASK_TYPE), pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())],
+        names=[*names, "value", "parts", "asks", "word", "n"])
+
+
 def _resolve(_key, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     """One slice of the classes: a trie for each language, then each distinct token once."""
     tries: dict[str, LookalikeTrie] = {}
@@ -252,39 +292,34 @@ def _resolve(_key, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"token": asked["token"], "lang": asked["lang"], "sure": asked["sure"], "canonical": answers})
 
 
-def suspect(value: Column) -> Column:
-    """Whether a value may hold a case; evaluated inside the JVM."""
-    return value.rlike(SUSPECT) | value.rlike(_ASTRAL)
-
-
 # The letters of the clean vocabulary, by language.
 _CLEAN = {
-    "fa": "^[آابپتثجچحخدذرزژسشصضطظعغفقکگلمنوهیئءأؤً\u200c۰-۹]+$",
+    "fa": "^(?!.*\\u200c\\u200c)[آابپتثجچحخدذرزژسشصضطظعغفقکگلمنوهیئءأؤً\u200c۰-۹]+$",
     "ar": "^[اآأإبتثجحخدذرزسشصضطظعغفقكلمنوهيىئءؤة\u0640ً-ْ٠-٩]+$",
     "la": "^[A-Za-zÀ-ſ0-9]+$",
     "ru": "^[А-Яа-яЁё]+$",
 }
 
 
-def canonical_values(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+def canonical_values(values: DataFrame, keys: list[str], value: str = "value", persian: Column | None = None) -> DataFrame:
     """``keys, value, canonical`` of the values whose canonical form differs from them.
 
     A value that is null, empty or already in its one consistent form gives no row, so that equal
-    looking values are equal once these rows replace theirs. Texts are read whole, whatever their
-    length; repeated keys are joined by all key columns and must therefore be unique; an empty input
-    gives an empty result. Ties between spellings go to the more frequent, then the later one in
-    code point order.
+    looking values are equal once these rows replace theirs. ``persian`` is true where the Arabic
+    script cannot be Arabic. Texts are read whole, whatever their length; the key columns must tell
+    the values apart; an empty input gives an empty result. Ties between spellings go to the more
+    frequent, then the later one in code point order.
     """
     spark = values.sparkSession
-    values = values.select(*keys, F.col(value).alias("value")).where(F.col("value").isNotNull() & (F.col("value") != ""))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in values.schema) + ", " + _DISSECTED
-    doubtful = stored(values.where(suspect(F.col("value"))).mapInArrow(_dissect_batches(keys), schema), "dissected")
+    values = values.select(*keys, F.col(value).alias("value"), (F.lit(False) if persian is None else persian).alias("persian")).where(
+        F.col("value").isNotNull() & (F.col("value") != ""))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in values.schema.fields[:-1]) + f", parts array<string>, asks {_ASKS}, word string, n long"
+    passed = stored(values.mapInArrow(_dissect_batches(len(keys)), schema), "dissected")
+    doubtful = passed.where("word is null").drop("word", "n")
+    words = passed.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
 
     asks = doubtful.select(*keys, F.explode("asks").alias("a")).select(*keys, "a.*")
     distinct = asks.groupBy("token", "lang", "sure", "slice", "fixed").count().drop("count")
-    clean = values.where(~suspect(F.col("value"))).select("value").unionByName(
-        doubtful.select(F.array_join(F.filter("parts", lambda p, i: ~F.array_contains("asks.at", i)), " ").alias("value")))
-    words = clean.select(F.explode(F.split("value", "[^\\p{L}\\p{M}\\p{N}\\u200c]+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
     tagged = words.select("word", "n", F.explode(F.array_compact(F.array(*[F.when(F.col("word").rlike(p), F.lit(g)) for g, p in _CLEAN.items()]))).alias("lang"))
     folded = F.translate("word", "".join(_LATIN_OF) + "".join(TO_PERSIAN), "".join(_LATIN_OF.values()) + "".join(TO_PERSIAN.values()))
     # Only spellings of a class that is asked for travel on.
@@ -314,7 +349,8 @@ def _fields(spark: SparkSession, root: str) -> DataFrame:
 
 def p2_canonical(spark: SparkSession, root: str) -> DataFrame:
     """Every value that is not in canonical form, with that form."""
-    return canonical_values(_fields(spark, root), ["table_name", "row_id", "field"])
+    # Names and cities are Persian, English or Turkish.
+    return canonical_values(_fields(spark, root), ["table_name", "row_id", "field"], persian=F.col("field").isin("business_name", "city"))
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
