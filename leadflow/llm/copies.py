@@ -18,30 +18,33 @@ from pyspark.sql import functions as F
 from ..plans.durable import partitions_of, stored
 from ..sources.tables import table
 
-# Punctuation that may surround a value, and blanks that Java's \s lacks.
-_EDGE = r"""\s.,;:!'"`()<>\[\]{}«»“”‘’…،؛"""
-_BLANK = "\\s\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
+# Punctuation that may surround a value, and all blanks.
+_EDGE = ".,;:!'\"`()<>[]{}«»“”‘’…،؛"
+_BLANK = "".join(map(chr, (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 
 
 def _bare(value: Column) -> Column:
     """Lower case, no white space, no surrounding punctuation; missing becomes ''."""
-    text = F.lower(F.regexp_replace(F.coalesce(value, F.lit("")), f"[{_BLANK}]+", ""))
-    return F.regexp_replace(text, f"^[{_EDGE}]+|[{_EDGE}]+$", "")
+    return F.btrim(F.lower(F.translate(F.coalesce(value, F.lit("")), _BLANK, "")), F.lit(_EDGE))
 
 
 def canonical_handle(value: Column) -> Column:
     """A handle without ``@``; inner dots, underscores and hyphens stay."""
-    return F.regexp_replace(_bare(value), f"^[@{_EDGE}]+", "")
+    return F.ltrim(_bare(value), F.lit("@" + _EDGE))
 
 
-def canonical_address(value: Column) -> Column:
-    """An address without scheme, ``www.`` and doubled or closing slashes, its parameters sorted."""
-    text = F.regexp_replace(_bare(value), "^(?:https?:/*)?(?:www\\.)?", "")
-    head = F.substring_index(text, "?", 1)
+def _address(text: Column) -> Column:
+    """``canonical_address`` of a bare text, which should be a column: it is used twice."""
+    plain = F.regexp_replace(text, "^(?:https?:/*)?(?:www\\.)?", "")
+    head = F.rtrim(F.regexp_replace(F.substring_index(plain, "?", 1), "/{2,}", "/"), F.lit("/"))
     query = F.regexp_extract(text, "\\?(.*)$", 1)
-    head = F.regexp_replace(F.regexp_replace(head, "/{2,}", "/"), "/+$", "")
     params = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: p != "")), "&")
-    return F.when(params != "", F.concat(head, F.lit("?"), params)).otherwise(head)
+    return F.when(text.contains("?") & (query != "") & (params != ""), F.concat(head, F.lit("?"), params)).otherwise(head)
+
+
+def canonical_address(value: Column) -> Column:
+    """An address without scheme, ``www.`` and doubled or closing slashes, its parameters sorted."""
+    return _address(_bare(value))
 
 
 def raw_field(raw: Column, name: str) -> Column:
@@ -54,18 +57,24 @@ def raw_field(raw: Column, name: str) -> Column:
     return F.when(is_json, unescaped).otherwise(plain)
 
 
-def canonical_record(
-    df: DataFrame, handle: str = "username", profile: str = "instagram_url", website: str = "website",
+def canonical_records(
+    df: DataFrame, row_id: str, handle: str = "username", profile: str = "instagram_url", website: str = "website",
     raw: str = "raw", raw_names: tuple[str, str, str] = ("username", "instagramurl", "website"),
-) -> Column:
-    """The record's full key, one text; '' for an all-blank record."""
-    has_raw = F.col(raw).isNotNull() & (F.trim(F.col(raw)) != "")
-    parts = []
-    for column, name, make in zip((handle, profile, website), raw_names, (canonical_handle, canonical_address, canonical_address), strict=True):
-        in_column = make(F.col(column))
-        parts.append(F.when((in_column == "") & has_raw, make(raw_field(F.col(raw), name))).otherwise(in_column))
-    joined = F.concat_ws("\x01", *parts)
-    return F.when(joined == "\x01\x01", F.lit("")).otherwise(joined)
+) -> DataFrame:
+    """``id, key``: each record's full key as one text; '' for an all-blank record.
+
+    A field that is blank in its column is read from the text form, where there is one. Each step
+    is a projection of its own, so that no expression is evaluated twice for a row.
+    """
+    columns = (handle, profile, website)
+    has_raw = F.col(raw).isNotNull() & (F.col(raw) != "")
+    found = df.select(F.col(row_id).cast("long").alias("id"), *[_bare(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)], F.when(has_raw, F.col(raw)).alias("raw"))
+    found = found.select("id", *[
+        F.when((F.col(f"c{i}") == "") & F.col("raw").isNotNull(), _bare(raw_field(F.col("raw"), name))).otherwise(F.col(f"c{i}")).alias(f"c{i}")
+        for i, name in enumerate(raw_names)])
+    found = found.select("id", F.ltrim(F.col("c0"), F.lit("@" + _EDGE)).alias("c0"), _address(F.col("c1")).alias("c1"), _address(F.col("c2")).alias("c2"))
+    blank = (F.col("c0") == "") & (F.col("c1") == "") & (F.col("c2") == "")
+    return found.select("id", F.when(blank, "").otherwise(F.concat_ws("\x01", "c0", "c1", "c2")).alias("key"))
 
 
 _SCANNED = "id long, local_id long, local_n long, head boolean, edge_key string"
@@ -98,17 +107,17 @@ def _scan(batches):
     }).to_batches(max_chunksize=20_000)
 
 
-def collapse_copies(df: DataFrame, key: Column, row_id: str) -> DataFrame:
-    """One row per input row with a non-blank key: ``id, keep_id, copies``.
+def collapse_copies(keyed: DataFrame) -> DataFrame:
+    """One row per row of ``id, key`` with a non-blank key: ``id, keep_id, copies``.
 
     ``keep_id`` is the smallest id of the rows with an equal key, ``copies`` how many there are.
     Rows whose key is null or '' are no record and give no row; a null id counts as no row; repeated
-    ids are rows of their own; an empty input gives an empty result. Other columns are ignored.
+    ids are rows of their own; an empty input gives an empty result. The keys are written once, so
+    that sampling the range bounds does not make them again.
     """
-    spark = df.sparkSession
-    keyed = df.select(key.alias("key"), F.col(row_id).cast("long").alias("id")).where("key <> '' and id is not null")
-    n = partitions_of(spark)
-    ordered = keyed.repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id")
+    spark = keyed.sparkSession
+    keyed = stored(keyed.select("id", "key"), "keys").where("key <> '' and id is not null").select("key", "id")
+    ordered = keyed.repartitionByRange(partitions_of(spark), "key", "id").sortWithinPartitions("key", "id")
     scanned = stored(ordered.mapInArrow(_scan, _SCANNED), "runs")
     edges = scanned.where("edge_key is not null and head").groupBy("edge_key").agg(
         F.min("local_id").alias("keep_all"), F.sum("local_n").alias("n_all"))
@@ -118,17 +127,50 @@ def collapse_copies(df: DataFrame, key: Column, row_id: str) -> DataFrame:
         "id", F.coalesce("keep_all", "local_id").alias("keep_id"), F.coalesce("n_all", "local_n").alias("copies"))
 
 
+def _copies(spark: SparkSession, root: str) -> DataFrame:
+    return collapse_copies(canonical_records(table(spark, root, "lead_import"), "import_id"))
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
-    imports = table(spark, root, "lead_import")
-    rows = collapse_copies(imports, canonical_record(imports), "import_id")
-    return rows.where("id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))
+    return _copies(spark, root).where("id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))
 
 
 def p3_records(spark: SparkSession, root: str) -> DataFrame:
     """One row per record: its representative and the exact number of its copies."""
-    imports = table(spark, root, "lead_import")
-    rows = collapse_copies(imports, canonical_record(imports), "import_id")
-    return rows.where("id = keep_id").select("keep_id", "copies")
+    return _copies(spark, root).where("id = keep_id").select("keep_id", "copies")
+
+
+# ---- the same in SQL ----
+
+_S_EDGE = r"""[.,;:!''"`()<>\[\]{}«»“”‘’…،؛]"""
+_S_BLANK = r"[\x{0009}-\x{000D}\x{001C}-\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+def _s_bare(x: str) -> str:
+    return f"regexp_replace(lower(regexp_replace(coalesce({x}, ''), '{_S_BLANK}+', '', 'g')), '^{_S_EDGE}+|{_S_EDGE}+$', '', 'g')"
+
+
+def _s_raw(name: str) -> str:
+    member = rf"""regexp_replace(regexp_replace(regexp_extract(raw, '(?is)"{name}"\s*:\s*"((?:[^"\\]|\\.)*)"', 1), '\\[nrt]', ' ', 'g'), '\\(.)', '\1', 'g')"""
+    line = rf"regexp_extract(raw, '(?im)^[ \t]*{name}[ \t]*[:=][ \t]*(.*)$', 1)"
+    return rf"(CASE WHEN regexp_matches(raw, '^\s*\{{') THEN {member} ELSE {line} END)"
+
+
+def _s_address(x: str) -> str:
+    plain = rf"regexp_replace({x}, '^(?:https?:/*)?(?:www\.)?', '')"
+    head = rf"regexp_replace(regexp_replace(split_part({plain}, '?', 1), '/{{2,}}', '/', 'g'), '/+$', '')"
+    params = rf"array_to_string(list_sort(list_filter(string_split(regexp_extract({x}, '\?(.*)$', 1), '&'), lambda p: p <> '')), '&')"
+    return f"(CASE WHEN contains({x}, '?') AND {params} <> '' THEN {head} || '?' || {params} ELSE {head} END)"
+
 
+_FIELDS = (("username", "username"), ("instagram_url", "instagramurl"), ("website", "website"))
+_S_KEYS = f"""WITH a AS (SELECT import_id, nullif(raw, '') AS raw, {', '.join(f'{_s_bare(c)} AS c{i}' for i, (c, _) in enumerate(_FIELDS))} FROM lead_import),
+b AS (SELECT import_id, {', '.join(f"CASE WHEN c{i} = '' AND raw IS NOT NULL THEN {_s_bare(_s_raw(n))} ELSE c{i} END AS c{i}" for i, (_, n) in enumerate(_FIELDS))} FROM a),
+c AS (SELECT import_id, regexp_replace(c0, '^(?:@|{_S_EDGE})+', '') AS c0, {_s_address('c1')} AS c1, {_s_address('c2')} AS c2 FROM b),
+k AS (SELECT import_id, min(import_id) OVER (PARTITION BY c0, c1, c2) AS keep_id FROM c WHERE c0 <> '' OR c1 <> '' OR c2 <> '')"""
 
 QUERIES = {"p3_found": p3_found, "p3_records": p3_records}
+SQL = {
+    "p3_found": f"{_S_KEYS} SELECT keep_id, import_id AS copy_id FROM k WHERE import_id <> keep_id",
+    "p3_records": f"{_S_KEYS} SELECT keep_id, count(*) AS copies FROM k GROUP BY keep_id",
+}
