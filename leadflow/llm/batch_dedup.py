@@ -28,8 +28,9 @@ from .reference_match import edit_distance
 #: Minwise bands and rows in a band. Measured on 3,000 random slips of each kind: letters added, lost or
 #: replaced are all found, swaps of neighbours at 0.998; accounts that share one of two words are seldom met.
 BANDS, ROWS = 48, 2
-#: Letters between the two parts of a shingle; it spans what one shared word does not.
-SPAN = 5
+#: Least and most letters between the two parts of a shingle: it spans what one shared word does not,
+#: and the shingles of a text grow in proportion to it.
+SPAN, FAR_SPAN = 5, 40
 #: Partitions of the index by hash of the key.
 BUCKETS = 16
 #: Bits by which the 64-bit sketches of two accounts may differ; unrelated accounts differ by 32, slips by 20.
@@ -85,8 +86,10 @@ def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
 @lru_cache(256)
 def _spans(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the bigrams and trigrams that make the shingles of a text with ``n`` trigrams."""
-    i, j = np.triu_indices(n, SPAN if n > 2 * SPAN else 1)
-    return (i, j) if len(i) else (np.zeros(1, int), np.zeros(1, int))
+    least = SPAN if n > 2 * SPAN else 1
+    i = np.concatenate([np.arange(n - d) for d in range(least, min(FAR_SPAN, n - 1) + 1)] or [np.zeros(1, int)])
+    j = i + np.concatenate([np.full(n - d, d) for d in range(least, min(FAR_SPAN, n - 1) + 1)] or [np.zeros(1, int)])
+    return i, j
 
 
 def signatures(texts: list[str], size: int) -> np.ndarray:
@@ -101,8 +104,12 @@ def signatures(texts: list[str], size: int) -> np.ndarray:
         pairs = ((points[:-2] << np.uint64(21)) ^ points[1:-1]) * np.uint64(0x9E3779B97F4A7C15)
         i, j = _spans(len(grams))
         shingles = (pairs[i] * np.uint64(0x94D049BB133111EB)) ^ grams[j]
-        mixed = (shingles ^ (shingles >> np.uint64(29)))[:, None] * a[None, :] + b[None, :]
-        out[row] = (mixed ^ (mixed >> np.uint64(32))).min(0)
+        shingles ^= shingles >> np.uint64(29)
+        least = np.full(size, np.iinfo(np.uint64).max, np.uint64)
+        for at in range(0, len(shingles), 4096):
+            mixed = shingles[at : at + 4096, None] * a[None, :] + b[None, :]
+            np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(0), out=least)
+        out[row] = least
     return out
 
 
