@@ -12,6 +12,7 @@ over the links alone.
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -31,7 +32,7 @@ BANDS, ROWS = 48, 2
 #: Least and most letters between the two parts of a shingle: it spans what one shared word does not,
 #: and the shingles of a text grow in proportion to it.
 SPAN, FAR_SPAN = 5, 40
-#: Partitions of the index by hash of the key.
+#: Buckets of the index by hash of the key; a deployment gives each some hundred MB.
 BUCKETS = 16
 #: Bits by which the 64-bit sketches of two accounts may differ; unrelated accounts differ by 32, slips by 20.
 SKETCH_BITS = 32
@@ -134,10 +135,10 @@ def _bands(batches):
                 mixed ^= mixed >> np.uint64(31)
             keys[:, band] = mixed
         flat = keys.reshape(-1).view(np.int64)
-        each = np.repeat(np.arange(len(texts)), BANDS)
+        each = pa.array(np.repeat(np.arange(len(texts)), BANDS))
         yield pa.RecordBatch.from_arrays(
-            [pa.array((flat % BUCKETS).astype(np.int32)), pa.array(flat), batch.column("id").take(pa.array(each)), batch.column("text").take(pa.array(each)), pa.array(sketch.view(np.int64)[each])],
-            names=["bucket", "key", "id", "text", "sketch"])
+            [pa.array(flat), batch.column("id").take(each), batch.column("text").take(each), pa.array(np.repeat(sketch.view(np.int64), BANDS))],
+            names=["key", "id", "text", "sketch"])
 
 
 def hash_text(text: str) -> int:
@@ -159,21 +160,39 @@ def _verify(batches):
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
-_EXACT = "kind string, text string, id long, bucket int"
-_BAND = "key long, id long, text string, sketch long, bucket int"
+_EXACT = "node string, known long"
+_BAND = "key long, id long, text string, sketch long"
 _LINK = "a long, b long"
+_ROWS = "id long, batch int, nodes array<long>"
 
 
 class ShopIndex:
-    """The index of one history: folders ``exact``, ``bands``, ``links`` and ``rows`` below ``path``."""
+    """The index of one history, below ``path``.
+
+    ``exact`` (by node) and ``bands`` (by band key) are bucketed tables: a batch is dealt into the same
+    buckets and meets each bucket where it lies, so that history is neither shuffled nor sorted into
+    place again for a batch. ``links`` and ``rows`` hold what each batch found.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
-        for name, schema in (("exact", _EXACT), ("bands", _BAND), ("links", _LINK), ("rows", "id long, node long, batch int")):
-            spark.createDataFrame([], schema).coalesce(1).write.mode("ignore").parquet(f"{path}/{name}/batch=-1" if name != "rows" else f"{path}/{name}/part=-1")
+        self.name = f"shops_{uuid.uuid4().hex}"
+        self._append(spark.createDataFrame([], _EXACT), "exact", "node")
+        self._append(spark.createDataFrame([], _BAND), "bands", "key")
+        for name, schema in (("rows", _ROWS), ("links", _LINK)):
+            spark.createDataFrame([], schema).coalesce(1).write.parquet(f"{path}/{name}/part=none")
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.path}/{name}")
+    def _append(self, rows: DataFrame, name: str, key: str) -> None:
+        # One task for each bucket, hence one file in each bucket for a batch.
+        rows.repartition(BUCKETS, key).write.mode("append").format("parquet").bucketBy(BUCKETS, key).option("path", f"{self.path}/{name}").saveAsTable(f"{self.name}_{name}")
+
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.table(f"{self.name}_{name}")
+
+    def close(self) -> None:
+        """Forget the table names; the files stay."""
+        for name in ("exact", "bands"):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{name}")
 
     def add(self, keys: DataFrame, batch: int, accepted: bool = False) -> None:
         """Probe with the records of one batch (``id, kind, text``), then append what is new.
@@ -181,39 +200,39 @@ class ShopIndex:
         ``accepted``: these records are the history, one of each shop; they are indexed and joined by
         equal keys, but not searched for slips among themselves.
         """
-        bucket = F.pmod(F.xxhash64("kind", "text"), F.lit(BUCKETS)).cast("int")
-        keys = stored(keys, "batch-keys")
-        nodes = keys.groupBy("kind", "text").agg(F.min("id").alias("first")).withColumn("bucket", bucket)
-        exact = self._read("exact", _EXACT).withColumnRenamed("id", "known")
-        nodes = stored(nodes.join(exact, ["bucket", "kind", "text"], "left").select("kind", "text", "bucket", "first", "known"), "batch-nodes")
+        keys = keys.select("id", "kind", "text", F.concat_ws(":", "kind", "text").alias("node"))
+        nodes = keys.groupBy("node", "kind", "text").agg(F.min("id").alias("first"))
+        nodes = stored(nodes.hint("shuffle_hash").join(self._table("exact"), "node", "left").select("node", "kind", "text", "first", "known"), "batch-nodes")
         fresh = nodes.where("known is null")
         accounts = fresh.where((F.col("kind") == "a") & (F.length(F.regexp_replace("text", "\\p{N}", "")) >= LEAST_LETTERS)).select(F.col("first").alias("id"), "text")
-        bands_at = f"{self.path}/bands/batch={batch}"
-        accounts.mapInArrow(_bands, "bucket int, key long, id long, text string, sketch long").select("key", "id", "text", "sketch", "bucket").write.parquet(bands_at)
-        own = self.spark.read.schema(_BAND).parquet(bands_at)
-        if accepted:
-            own = own.limit(0)
-        met = self._read("bands", _BAND).select("bucket", "key", F.col("id").alias("other_id"), F.col("text").alias("other"), F.col("sketch").alias("other_sketch"))
-        pairs = own.join(met, ["bucket", "key"]).where(
-            (F.col("text") != F.col("other")) & (F.abs(F.length("text") - F.length("other")) <= 1)
-            & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("other_sketch"))) <= SKETCH_BITS)
-            # Within the batch each pair is met from both sides; against history only from this one.
-            & ((F.col("other_id") < F.col("id")) | (F.col("other_id") == F.col("id")) & (F.col("other") < F.col("text")) | (F.col("id") < F.col("other_id"))))
-        # A cheap bound inside the JVM first: a swap of neighbours is two edits there.
-        near = pairs.where(F.levenshtein("text", "other", 2) >= 0)
-        slips = near.select("text", "other", "id", "other_id").distinct().mapInArrow(_verify, "text string, other string, id long, other_id long")
+        own = stored(accounts.mapInArrow(_bands, _BAND), "batch-bands")
+        self._append(own, "bands", "key")
         home = F.coalesce("known", "first")
-        placed = keys.join(nodes, ["kind", "text"]).groupBy("id").agg(F.collect_set(home).alias("nodes")).withColumn("node", F.array_min("nodes"))
-        placed = stored(placed, "batch-placed")
-        placed.select("id", "node", F.lit(batch).alias("batch")).write.parquet(f"{self.path}/rows/part={batch}")
-        several = placed.where(F.size("nodes") > 1).select(F.explode("nodes").alias("a"), F.col("node").alias("b")).where("a <> b")
-        several.unionByName(slips.where("id <> other_id").select(F.col("id").alias("a"), F.col("other_id").alias("b"))).distinct().write.parquet(f"{self.path}/links/batch={batch}")
-        fresh.select("kind", "text", F.col("first").alias("id"), "bucket").repartition("bucket").write.parquet(f"{self.path}/exact/batch={batch}")
+        placed = keys.join(nodes, ["node"]).groupBy("id").agg(F.collect_set(home).alias("nodes"))
+        placed.select("id", F.lit(batch).alias("batch"), "nodes").write.parquet(f"{self.path}/rows/part={batch}")
+        if not accepted:
+            self._slips(own).write.parquet(f"{self.path}/links/part={batch}")
+        self._append(fresh.select("node", F.col("first").alias("known")), "exact", "node")
+
+    def _slips(self, own: DataFrame) -> DataFrame:
+        """Links of a batch's new accounts to those one slip away, of history or of the batch."""
+        met = self._table("bands").select("key", F.col("id").alias("other_id"), F.col("text").alias("other"), F.col("sketch").alias("other_sketch"))
+        pairs = met.join(own.hint("shuffle_hash"), "key").where(
+            (F.col("text") != F.col("other")) & (F.col("id") != F.col("other_id")) & (F.abs(F.length("text") - F.length("other")) <= 1)
+            & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("other_sketch"))) <= SKETCH_BITS)
+            # A cheap bound inside the JVM; a swap of neighbours is two edits there.
+            & (F.levenshtein("text", "other", 2) >= 0))
+        found = pairs.select("text", "other", "id", "other_id").distinct().mapInArrow(_verify, "text string, other string, id long, other_id long")
+        return found.select(F.col("id").alias("a"), F.col("other_id").alias("b"))
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.path}/{name}")
 
     def known(self) -> DataFrame:
         """``id, batch, known_id``: every record with the smallest id of its shop."""
-        rows = self._read("rows", "id long, node long, batch int")
-        labels = components(self._read("links", _LINK))
+        rows = self._read("rows", _ROWS).withColumn("node", F.array_min("nodes"))
+        joined = rows.where(F.size("nodes") > 1).select(F.explode("nodes").alias("a"), F.col("node").alias("b")).where("a <> b")
+        labels = components(joined.unionByName(self._read("links", _LINK)).distinct())
         return rows.join(labels.withColumnRenamed("id", "node"), "node", "left").select(
             "id", "batch", F.least("id", F.coalesce("label", "node")).alias("known_id"))
 
@@ -247,8 +266,10 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     shared = stored(shared_hosts(lead.select("website").unionByName(batches.select("website"))), "shared-hosts")
     index = ShopIndex(spark, stored_path(spark, "shops"))
     index.add(record_keys(lead, shared), 0, accepted=True)
+    # The numbers of the batches: one row for each that is waiting.
     for (number,) in batches.select("batch_id").distinct().orderBy("batch_id").collect():
         index.add(record_keys(batches.where(F.col("batch_id").eqNullSafe(F.lit(number))), shared), (number if number is not None else 0) + 1)
+    index.close()
     return index.known().where("batch > 0 and known_id < id").select("known_id", F.col("id").alias("new_id"))
 
 
