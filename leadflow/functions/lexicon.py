@@ -92,8 +92,8 @@ FURTHER_TEMPLATES = (
 )
 HOME, CAPITAL, MOST_QUERIES, MOST_TERMS = "ایران", "تهران", 48, 5
 # Words that show in which way results fell short.
-INFLUENCER_WORDS = "(?iu)influencer|اینفلوئنسر|پیج شخصی|fan page"
-FOREIGN_WORDS = "(?iu)dubai|istanbul|turkey|uae|دبی|استانبول|ترکیه"
+INFLUENCER_WORDS = ("influencer", "اینفلوئنسر", "پیج شخصی", "fan page")
+FOREIGN_WORDS = ("dubai", "istanbul", "turkey", "uae", "دبی", "استانبول", "ترکیه")
 # Status rank and keys of the lead order.
 STATUS_RANK = (("VERIFIED_IRAN", 4), ("NOT_APPLICABLE", 3), ("LIKELY_IRAN", 2), ("UNCERTAIN", 1), ("NOT_IRAN", 0))
 SCORE_WEIGHTS = (

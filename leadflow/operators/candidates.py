@@ -33,8 +33,9 @@ def extracted(results: DataFrame, profile_host: str = PROFILE_HOST) -> DataFrame
 def members(results: DataFrame, scope: str = "request_id", order: str = "result_idx", profile_host: str = PROFILE_HOST) -> DataFrame:
     """A row per result and key, with the fields a candidate takes from it and its place in the order."""
     rows = extracted(results, profile_host)
+    # Keys are never empty; the outer form keeps Spark from testing so by extracting them twice.
     return rows.select(
-        scope, order, F.posexplode("keys").alias("key_pos", "key"), "url", "blob", ex.name_in_title().alias("business_name"),
+        scope, order, F.posexplode_outer("keys").alias("key_pos", "key"), "url", "blob", ex.name_in_title().alias("business_name"),
         F.nullif("snippet", F.lit("")).alias("bio"), ex.site_of(profile_host=profile_host).alias("website"),
         F.try_element_at("websites", F.lit(1)).alias("listed"), "telegram", "whatsapp"
     ).withColumn("at", F.struct(order, "key_pos"))

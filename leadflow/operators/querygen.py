@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
+from ..functions.text import mentions_any
 
 
 def tidy(value: Column) -> Column:
@@ -83,7 +84,7 @@ def shortfalls(candidates: DataFrame, blobs: DataFrame, scope: str = "request_id
 
     ``blobs`` has (scope, cluster, blob); a candidate counts once however many of its texts match.
     """
-    marks = blobs.groupBy(scope, "cluster").agg(F.max(F.col("blob").rlike(lx.INFLUENCER_WORDS)).alias("influencer"), F.max(F.col("blob").rlike(lx.FOREIGN_WORDS)).alias("foreign"))
+    marks = blobs.groupBy(scope, "cluster").agg(F.max(mentions_any("blob", lx.INFLUENCER_WORDS)).alias("influencer"), F.max(mentions_any("blob", lx.FOREIGN_WORDS)).alias("foreign"))
     n = F.col("n")
     counts = candidates.join(marks, [scope, "cluster"], "left").groupBy(scope).agg(
         F.count("*").alias("n"), F.count_if("influencer").alias("influencers"), F.count_if("foreign").alias("abroad"),

@@ -20,7 +20,11 @@ def parsed_reply(raw: Column | str) -> Column:
     null, that of a null member is VOID.
     """
     text = F.col(raw) if isinstance(raw, str) else raw
-    v = F.try_parse_json(text)
+    # Parsed once, as the only element of an array.
+    return F.try_element_at(F.transform(F.array(F.try_parse_json(text)), _checked), F.lit(1))
+
+
+def _checked(v: Column) -> Column:
     ok = F.schema_of_variant(v).startswith("OBJECT")
     for key in TEXTS:
         ok = ok & _kind(v, key).isin("STRING", "VOID")

@@ -192,7 +192,7 @@ def contacts_in_bios(spark: SparkSession, root: str) -> DataFrame:
 
 @query("candidate_keys", f"WITH {EXTRACTED} SELECT result_idx, unnest(range(0, len(keys))) AS key_pos, unnest(keys) AS key FROM extracted")
 def candidate_keys(spark: SparkSession, root: str) -> DataFrame:
-    return candidates.extracted(table(spark, root, "search_result"), HOST).select("result_idx", F.posexplode("keys").alias("key_pos", "key")).withColumn("key_pos", F.col("key_pos").cast("long"))
+    return candidates.extracted(table(spark, root, "search_result"), HOST).select("result_idx", F.posexplode_outer("keys").alias("key_pos", "key")).withColumn("key_pos", F.col("key_pos").cast("long"))
 
 
 @query("group_candidates", f"WITH {RESOLVED} SELECT request_id, key, business_name, bio, telegram, whatsapp, website, username, results FROM grp")
