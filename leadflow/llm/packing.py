@@ -1,14 +1,15 @@
 """Documents placed in containers of fixed capacity (problem 7).
 
 Method: cost-balanced packing. The cost of a document of n tokens is linear plus quadratic (its
-attention); documents in descending order go to the lowest-cost sequence that has room. Lengths are
-counted once and stored. Documents are dealt into shards of bounded size, each packed by one task,
+attention); documents in descending order go to the lowest-cost sequence that has room, unless one
+closes a sequence almost exactly. Lengths are counted once and stored. Documents are dealt into shards of bounded size, each packed by one task,
 so that the work is linear in the data and the space lost to sharding is under one container in a
 shard of some thousands.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import os
 from functools import lru_cache
@@ -27,6 +28,8 @@ from .token_ids import TOKENIZERS, merger, slices
 SHARD = 50_000
 #: Attention cost of a token pair against the linear cost of a token.
 QUADRATIC = 1 / 4096
+#: Share of the capacity that may stay unused in a sequence that a document closes.
+CLOSING = 1 / 256
 
 
 @lru_cache(4)
@@ -63,35 +66,47 @@ def count_tokens(texts: list[str], folder: str, names: list[str]) -> dict[str, n
     return found
 
 
-def pack(lengths: np.ndarray, capacity: int, quadratic: float = QUADRATIC) -> np.ndarray:
-    """Container of each length (all at most ``capacity``), by the lowest cost that has room."""
+def pack(lengths: np.ndarray, capacity: int, quadratic: float = QUADRATIC, closing: float = CLOSING) -> np.ndarray:
+    """Container of each length (all at most ``capacity``).
+
+    Lengths in descending order go to the sequence of lowest cost that has room; before that, to the
+    tightest one if they close it, leaving at most ``closing`` of the capacity. As many sequences are
+    open from the start as the total needs at least; another is opened only if nothing has room.
+    """
     home = np.empty(len(lengths), np.int64)
     order = np.argsort(-lengths, kind="stable")
     full = int(np.searchsorted(-lengths[order], -capacity, side="right"))
     home[order[:full]] = np.arange(full)
     rest = order[full:]
-    total = int(lengths[rest].sum())
-    opened = max(1, -(-total // capacity)) if len(rest) else 0
-    room = [capacity] * opened
-    cost = [0.0] * opened
-    active = [(0.0, k) for k in range(opened)]  # has room for the present length, or is parked next
-    parked: list[tuple[int, int]] = []  # by room, largest first
+    opened = max(1, -(-int(lengths[rest].sum()) // capacity)) if len(rest) else 0
+    room, cost, slack = [capacity] * opened, [0.0] * opened, closing * capacity
+    by_room = [(capacity, k) for k in range(opened)]
+    active = [(0.0, k) for k in range(opened)]  # by cost; entries whose cost has changed are passed over
+    parked: list[tuple[int, int]] = []  # without room for the present length; by room, largest first
     for i in rest.tolist():
         n = int(lengths[i])
-        while parked and -parked[0][0] >= n:
-            k = heapq.heappop(parked)[1]
-            heapq.heappush(active, (cost[k], k))
-        while active and room[active[0][1]] < n:
-            k = heapq.heappop(active)[1]
-            heapq.heappush(parked, (-room[k], k))
-        if active:
-            k = heapq.heappop(active)[1]
+        at = bisect.bisect_left(by_room, (n, -1))
+        if at < len(by_room) and by_room[at][0] - n <= slack:
+            k = by_room[at][1]
         else:
-            k = len(room)
-            room.append(capacity)
-            cost.append(0.0)
+            while parked and -parked[0][0] >= n:
+                k = heapq.heappop(parked)[1]
+                heapq.heappush(active, (cost[k], k))
+            while active and (active[0][0] != cost[active[0][1]] or room[active[0][1]] < n):
+                old, k = heapq.heappop(active)
+                if old == cost[k]:
+                    heapq.heappush(parked, (-room[k], k))
+            if active:
+                k = active[0][1]
+            else:
+                k = len(room)
+                room.append(capacity)
+                cost.append(0.0)
+                bisect.insort(by_room, (capacity, k))
+        by_room.pop(bisect.bisect_left(by_room, (room[k], k)))
         room[k] -= n
         cost[k] += n + quadratic * n * n
+        bisect.insort(by_room, (room[k], k))
         heapq.heappush(active, (cost[k], k))
         home[i] = full + k
     return home
