@@ -171,7 +171,7 @@ class ByteNetwork:
                 g["x" + d][k][byte[first]] = np.add.reduceat(da[order], first, axis=0)
         return g, loss
 
-    def fit(self, texts: list[str], labels: np.ndarray, epochs: int, rate: float = 0.01, batch: int = 48, seed: int = 1) -> None:
+    def fit(self, texts: list[str], labels: np.ndarray, epochs: int, rate: float = 0.015, batch: int = 128, seed: int = 1) -> None:
         if not texts:
             return
         rng = np.random.default_rng(seed)
@@ -235,7 +235,7 @@ def train(documents: list[tuple[str, str]], seed: int = 7) -> ByteNetwork:
     if texts:
         logs, _ = network.pooled(texts)
         keep = np.flatnonzero(logs[np.arange(len(texts)), target] > logs.max(1) - 0.3)
-        network.fit([texts[i] for i in keep], target[keep], 4, rate=0.005, seed=seed + 1)
+        network.fit([texts[i] for i in keep], target[keep], 4, rate=0.0075, seed=seed + 1)
     return network
 
 
