@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import source_id
+
+
+def evidence_item(kind: str, signal: Column | str, url: Column, strength: str) -> Column:
+    """One item; its source is the host of the address, or ``unknown`` without one."""
+    said = F.lit(signal) if isinstance(signal, str) else signal
+    return F.struct(F.lit(kind).alias("type"), said.alias("signal"), url.alias("source_url"), source_id(url).alias("source_id"), F.lit(strength).alias("strength"))
+
 
 def independent_signals(evidence: Column | str) -> Column:
     """The first item of each (source, type), in order; null-safe; null gives an empty list."""

@@ -34,13 +34,14 @@ def with_defaults(df: DataFrame) -> DataFrame:
 
 
 def read_json_archive(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of leads with camel-case names. A missing file is an empty archive.
+    """Leads with camel-case names: a ``.json`` file with one array, or a folder of JSON lines.
 
+    A missing file is an empty archive.
     A file that is there but broken raises: reading it as empty would let the next write destroy it.
     """
     schema = re.sub(r"\b([a-z]+(?:_[a-z]+)+)\b(?=[ :])", lambda m: _camel(m.group(1)), LEAD)
     try:
-        raw = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+        raw = spark.read.schema(schema).option("multiLine", path.endswith(".json")).option("mode", "FAILFAST").json(path)
     except AnalysisException as missing:
         if "PATH_NOT_FOUND" not in str(missing):
             raise
@@ -49,6 +50,21 @@ def read_json_archive(spark: SparkSession, path: str) -> DataFrame:
     return with_defaults(raw.select(*[F.col(_camel(name)).cast(kind).alias(name) for name, kind in kinds.items()]))
 
 
+def write_json_archive(leads: DataFrame, path: str) -> None:
+    """The whole archive as JSON lines with camel-case names, in place of what is there.
+
+    For exchange; an archive that grows is a Parquet table to which ``add_new`` appends.
+    """
+    names = {name: kind for name, kind, _ in LEAD_COLUMNS}
+    camel = {name: re.sub(r"\b([a-z]+(?:_[a-z]+)+)\b(?=:)", lambda m: _camel(m.group(1)), kind) for name, kind in names.items()}
+    leads.select(*[F.col(n).cast(k).alias(_camel(n)) for n, k in camel.items()]).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def listed(leads: DataFrame) -> tuple[DataFrame, int]:
+    """The leads from the newest on, and their number."""
+    return leads.orderBy(F.col("discovered_at").desc_nulls_last()), leads.count()
+
+
 def add_new(archive_path: str, leads: DataFrame, order: str, profile_host: str = PROFILE_HOST) -> DataFrame:
     """Append the leads that the Parquet archive lacks, one of each shop; returns them.
 

@@ -92,6 +92,12 @@ def test_evidence(spark):
     assert [r.n for r in rows] == [2, 0, 0] and [r.q for r in rows] == [100, 0, 0]
 
 
+def test_evidence_without_an_address_has_an_unknown_source(spark):
+    df = spark.createDataFrame([("https://www.a.ir/x",), (None,)], "u string")
+    items = [r.e for r in df.select(evidence.evidence_item("t", "s", F.col("u"), "strong").alias("e")).collect()]
+    assert [(e.type, e.signal, e.source_id, e.strength) for e in items] == [("t", "s", "a.ir", "strong"), ("t", "s", "unknown", "strong")]
+
+
 def test_positions_are_global(spark):
     df = spark.range(1000).select(F.col("id"), (F.col("id") * 7919 % 1000).alias("v")).repartition(7)
     rows = ordering.positions(df, [F.col("v").desc()]).collect()

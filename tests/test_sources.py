@@ -20,6 +20,46 @@ def test_json_archive(spark, tmp_path):
     assert rows[None].discovered_at.endswith("Z")
 
 
+def test_json_archive_round_trip(spark, tmp_path):
+    (tmp_path / "leads.json").write_text(json.dumps([{"username": "a", "discoveredAt": "2", "evidence": [{"type": "t", "sourceUrl": "u", "sourceId": "s"}]}, {"businessName": "B", "discoveredAt": "3"}]))
+    leads = archive.read_json_archive(spark, str(tmp_path / "leads.json"))
+    archive.write_json_archive(leads, str(tmp_path / "out"))
+    again = archive.read_json_archive(spark, str(tmp_path / "out"))
+    assert sorted(map(str, again.collect())) == sorted(map(str, leads.collect()))
+    rows, total = archive.listed(again)
+    assert ([r.discovered_at for r in rows.collect()], total) == (["3", "2"], 2)
+
+
+def test_reply_providers(spark):
+    from leadflow.operators.replies import parsed_reply
+    from leadflow.sources import replies as rp
+
+    df = spark.createDataFrame([(1, "N", "u", None, "x" * 5000), (2, None, None, None, None)], "lead_id long, business_name string, username string, website string, text string")
+    mock = rp.chosen_replies(None, {}).replies(df, "lead_id").select("lead_id", parsed_reply("raw").alias("r")).orderBy("lead_id").collect()
+    assert [(r.r.business_name, r.r.business_type, r.r.fit) for r in mock] == [("N", "retail", 0.0), (None, "retail", 0.0)]
+
+    def ask(request):
+        if "null, \"text\": \"\"" in request:
+            raise RuntimeError("down")
+        return str(len(request))
+
+    assert rp.chosen_replies(ask, {"AI_PROVIDER": "off"}).is_mock
+    rows = rp.chosen_replies(ask, {}).replies(df, "lead_id").collect()
+    assert [r.lead_id for r in rows] == [1] and 4000 < int(rows[0].raw) < 4100
+    assert rp.TableReplies(spark.createDataFrame([(1, "a"), (9, "b")], "lead_id long, raw string")).replies(df, "lead_id").count() == 1
+
+
+def test_progress(spark):
+    from leadflow.streaming.progress import Progress
+
+    progress = Progress(spark)
+    fetch(search.RoutedProvider(spark, ROUTES), ["toy", "game"], 10, 99, 2, progress.on_query)
+    progress.emit("finish")
+    assert [(r.seq, r.stage, r.detail, r.current) for r in progress.table().collect()] == [(0, "search", "toy", 1), (1, "search", "game", 2), (2, "finish", None, None)]
+    with pytest.raises(ValueError):
+        progress.emit("nothing")
+
+
 def test_broken_archive_is_an_error(spark, tmp_path):
     (tmp_path / "leads.json").write_text("{broken")
     with pytest.raises(Exception):  # noqa: B017
