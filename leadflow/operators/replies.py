@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TEXTS, LISTS, NUMBERS, CLAIMS = ("businessName", "businessType", "city"), ("reasons", "warnings"), ("shopBotFit", "credibility"), "inventedClaims"
+TEXTS, LISTS, NUMBERS, CLAIMS = ("businessName", "businessType", "city"), ("reasons", "warnings"), ("fit", "credibility"), "inventedClaims"
 
 
 def _kind(variant: Column, key: str) -> Column:

@@ -425,15 +425,15 @@ def stage_ends(spark: SparkSession, root: str) -> DataFrame:
 
 
 _REPLIES = (
-    '{"businessName": "N#", "businessType": "retail", "city": null, "reasons": ["a", "b"], "warnings": [], "shopBotFit": 70, "credibility": 55.5, "inventedClaims": []}',
+    '{"businessName": "N#", "businessType": "retail", "city": null, "reasons": ["a", "b"], "warnings": [], "fit": 70, "credibility": 55.5, "inventedClaims": []}',
     "not json",
-    '{"businessName": "N#", "city": null, "reasons": [], "warnings": [], "shopBotFit": 1, "credibility": 1}',
-    '{"businessName": null, "businessType": null, "city": "C", "reasons": [], "warnings": ["w"], "shopBotFit": 0, "credibility": 100, "inventedClaims": ["x"]}',
-    '{"businessName": "N#", "businessType": "retail", "city": null, "reasons": [], "warnings": [], "shopBotFit": "70", "credibility": 55}',
-    '{"businessName": "N#", "businessType": "retail", "city": null, "reasons": [], "warnings": [], "shopBotFit": 101, "credibility": 55}',
-    '{"businessName": "N#", "businessType": "retail", "city": null, "reasons": ["1","2","3","4","5","6","7","8","9","10","11","12","13"], "warnings": [], "shopBotFit": 7, "credibility": 5}',
-    '{"businessName": null, "businessType": null, "city": null, "reasons": [], "warnings": [], "shopBotFit": 0, "credibility": 0}',
-    '{"businessName": "N#", "businessType": "b", "city": "c", "reasons": ["r"], "warnings": [], "shopBotFit": 3, "credibility": 4, "more": {"a": 1}}',
+    '{"businessName": "N#", "city": null, "reasons": [], "warnings": [], "fit": 1, "credibility": 1}',
+    '{"businessName": null, "businessType": null, "city": "C", "reasons": [], "warnings": ["w"], "fit": 0, "credibility": 100, "inventedClaims": ["x"]}',
+    '{"businessName": "N#", "businessType": "retail", "city": null, "reasons": [], "warnings": [], "fit": "70", "credibility": 55}',
+    '{"businessName": "N#", "businessType": "retail", "city": null, "reasons": [], "warnings": [], "fit": 101, "credibility": 55}',
+    '{"businessName": "N#", "businessType": "retail", "city": null, "reasons": ["1","2","3","4","5","6","7","8","9","10","11","12","13"], "warnings": [], "fit": 7, "credibility": 5}',
+    '{"businessName": null, "businessType": null, "city": null, "reasons": [], "warnings": [], "fit": 0, "credibility": 0}',
+    '{"businessName": "N#", "businessType": "b", "city": "c", "reasons": ["r"], "warnings": [], "fit": 3, "credibility": 4, "more": {"a": 1}}',
 )
 _RAW = "CASE o_orderkey % 9 " + " ".join(f"WHEN {i} THEN replace({q(t)}, '#', CAST(o_orderkey AS VARCHAR))" for i, t in enumerate(_REPLIES)) + " END"
 
@@ -441,7 +441,7 @@ _RAW = "CASE o_orderkey % 9 " + " ".join(f"WHEN {i} THEN replace({q(t)}, '#', CA
 @query("validate_replies", f"""WITH r AS (SELECT o_orderkey, CASE WHEN json_valid({_RAW}) THEN CAST({_RAW} AS JSON) END AS j FROM orders),
 ok AS (SELECT o_orderkey, j FROM r WHERE j IS NOT NULL AND {' AND '.join(f"coalesce(json_type(j, '$.{k}') IN ('VARCHAR', 'NULL'), false)" for k in replies.TEXTS)} AND {' AND '.join(f"coalesce(json_type(j, '$.{k}') = 'ARRAY' AND json_array_length(j, '$.{k}') <= 12, false)" for k in replies.LISTS)}
   AND {' AND '.join(f"coalesce(json_type(j, '$.{k}') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND CAST(j->>'$.{k}' AS DOUBLE) BETWEEN 0 AND 100, false)" for k in replies.NUMBERS)} AND coalesce(json_array_length(j, '$.inventedClaims'), 0) = 0)
-SELECT o_orderkey, j->>'$.businessName' AS business_name, j->>'$.businessType' AS business_type, j->>'$.city' AS city, CAST(json_array_length(j, '$.reasons') AS INTEGER) AS reasons, CAST(j->>'$.shopBotFit' AS DOUBLE) AS fit, CAST(j->>'$.credibility' AS DOUBLE) AS credibility FROM ok""")
+SELECT o_orderkey, j->>'$.businessName' AS business_name, j->>'$.businessType' AS business_type, j->>'$.city' AS city, CAST(json_array_length(j, '$.reasons') AS INTEGER) AS reasons, CAST(j->>'$.fit' AS DOUBLE) AS fit, CAST(j->>'$.credibility' AS DOUBLE) AS credibility FROM ok""")
 def validate_replies(spark: SparkSession, root: str) -> DataFrame:
     rows = _reply_table(spark, root).select("o_orderkey", replies.parsed_reply("raw").alias("r")).where("r is not null")
     return rows.select("o_orderkey", "r.business_name", "r.business_type", "r.city", F.size("r.reasons").alias("reasons"), "r.fit", "r.credibility")

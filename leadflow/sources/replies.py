@@ -35,7 +35,7 @@ class MockReplies(ReplyProvider):
         empty = F.array().cast("array<string>")
         reply = F.struct(
             F.col("business_name").alias("businessName"), F.lit("retail").alias("businessType"), F.lit(None).cast("string").alias("city"), empty.alias("reasons"),
-            empty.alias("warnings"), F.lit(0).alias("shopBotFit"), F.lit(0).alias("credibility"), empty.alias("inventedClaims"))
+            empty.alias("warnings"), F.lit(0).alias("fit"), F.lit(0).alias("credibility"), empty.alias("inventedClaims"))
         return candidates.select(key, F.to_json(reply, {"ignoreNullFields": "false"}).alias("raw"))
 
 

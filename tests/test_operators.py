@@ -144,7 +144,7 @@ def test_valid_requests(spark):
     assert sorted(r.request_id for r in querygen.valid_requests(df).collect()) == [1, 5]
 
 
-GOOD = '{"businessName":"N","businessType":null,"city":null,"reasons":["r"],"warnings":[],"shopBotFit":70,"credibility":5.5'
+GOOD = '{"businessName":"N","businessType":null,"city":null,"reasons":["r"],"warnings":[],"fit":70,"credibility":5.5'
 
 
 @pytest.mark.parametrize("raw,ok", [

@@ -13,7 +13,7 @@ from test_operators import limit_by_loop, make_events
 def test_json_archive(spark, tmp_path):
     path = str(tmp_path / "leads.json")
     assert archive.read_json_archive(spark, path).count() == 0
-    (tmp_path / "leads.json").write_text(json.dumps([{"username": "a", "score": 3, "junk": 1, "iranEvidence": [{"type": "t", "sourceId": "s"}]}, {"businessName": "B", "scoreBreakdown": {"shopBotFit": 4}}]))
+    (tmp_path / "leads.json").write_text(json.dumps([{"username": "a", "score": 3, "junk": 1, "iranEvidence": [{"type": "t", "sourceId": "s"}]}, {"businessName": "B", "scoreBreakdown": {"contactability": 4}}]))
     rows = {r.username: r for r in archive.read_json_archive(spark, path).collect()}
     assert (rows["a"].score, rows["a"].tier, rows["a"].score_breakdown.shop_bot_fit, rows["a"].iran_evidence[0].source_id) == (3, "REJECT", 0, "s")
     assert (rows[None].business_name, rows[None].reason, rows[None].provider) == ("B", [], "unknown")
