@@ -55,15 +55,43 @@ _RUSSIAN = frozenset("абвгдеёжзийклмнопрстуфхцчшщъы
 
 _ARABIC_LETTER = "\\u0620-\\u064A\\u066E-\\u06D3\\u06FA-\\u06FF"
 _AL = "\\x{0620}-\\x{064A}\\x{066E}-\\x{06D3}\\x{06FA}-\\x{06FF}"
+
+
+def _changed() -> str:
+    """The characters that tables or compatibility forms change wherever they stand, as ranges (RE2).
+
+    All ignorable ones but the emoji joiner, whose neighbours decide; blanks; letters, marks and numbers
+    that have another form or are composed with what stands before them; marks of other width.
+    """
+    points = {ord(c) for c in (*_LATIN_OF, *TO_PERSIAN, *IGNORABLE, *BLANKS)} - {ord(EMOJI_JOINER)}
+    for point in range(0x80, 0x110000):
+        c = chr(point)
+        if unicodedata.category(c)[0] in "LMN" or "！" <= c <= "･" or "︐" <= c <= "﹫":
+            if unicodedata.normalize("NFC", unicodedata.normalize("NFKC", c)) != c:
+                points.add(point)
+            parts = unicodedata.decomposition(c).split()
+            if len(parts) == 2 and parts[0][0] != "<":
+                points.add(int(parts[1], 16))
+    points.update(range(0x1161, 0x1176), range(0x11A8, 0x11C3))  # Hangul is composed by rule
+    ranges: list[list[int]] = []
+    for point in sorted(points):
+        if ranges and ranges[-1][1] == point - 1:
+            ranges[-1][1] = point
+        else:
+            ranges.append([point, point])
+    return "".join(f"\\x{{{low:X}}}-\\x{{{high:X}}}" for low, high in ranges)
+
+
 #: A superset of the values that may hold a case (RE2).
 SUSPECT = (
-    "[\\x{00AD}\\x{061C}\\x{0640}\\x{180E}\\x{200B}\\x{200E}\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{2066}-\\x{2069}\\x{FEFF}"
+    f"[{_changed()}"
+    "\\x{00AD}\\x{061C}\\x{0640}\\x{180E}\\x{200B}\\x{200E}\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{2066}-\\x{2069}\\x{FEFF}"
     "\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}"
     "\\x{0300}-\\x{0338}\\x{0653}-\\x{0655}\\x{0370}-\\x{052F}\\x{FB00}-\\x{FB06}\\x{FB1D}-\\x{FDFD}\\x{FE10}-\\x{FE19}\\x{FE30}-\\x{FE6B}\\x{FE70}-\\x{FEFC}\\x{FF01}-\\x{FFEE}"
     "\\x{0629}\\x{0623}\\x{0625}\\x{0649}\\x{064A}\\x{0643}\\x{0660}-\\x{0669}\\x{06BE}\\x{06C1}\\x{06D5}\\x{2100}-\\x{214F}\\x{2160}-\\x{217F}\\x{2460}-\\x{24FF}"
     "\\x{1D400}-\\x{1D7FF}\\x{1F100}-\\x{1F189}]"
     f"|^\\x{{200C}}|\\x{{200C}}$|[^{_AL}\\x{{064B}}-\\x{{0652}}]\\x{{200C}}|\\x{{200C}}[^{_AL}]"
-    "|^\\x{200D}|\\x{200D}$|[\\pL\\pN ]\\x{200D}|\\x{200D}[\\pL\\pN ]|[\\pL ]\\x{FE0F}"
+    "|^\\x{200D}|\\x{200D}$|[^\\pS\\x{FE0F}]\\x{200D}|\\x{200D}[^\\pS]|[\\pL ]\\x{FE0F}"
 )
 
 _TOKEN = regex.compile(f"[\\p{{L}}\\p{{M}}\\p{{N}}{IGNORABLE}{JOINER}_]+")

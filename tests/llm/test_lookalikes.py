@@ -50,6 +50,29 @@ def test_repeated_and_long_values(spark):
     assert canonical(spark, []) == []
 
 
+def test_no_character_that_the_tables_change_escapes():
+    import unicodedata
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    every = [chr(p) for p in range(0x80, 0x110000) if not 0xD800 <= p < 0xE000]
+    changed = [c for c in every if c in k._LATIN_OF or c in k.TO_PERSIAN or c in k.IGNORABLE or c in k.BLANKS or unicodedata.category(c)[0] in "LMN" and k._plain(c) != c]
+    # Besides, what the operator itself does to each character alone and within a word.
+    letters = [c for c in every if unicodedata.category(c)[0] in "LMN" and c != k.EMOJI_STYLE and unicodedata.name(c, "")[:6] not in ("CJK UN", "HANGUL")]
+    changed += [v for v in (around.format(c) for around in ("{}", "wo{}rd") for c in letters) if k.by_table(v, "la")[0] != v]
+    changed += ["!\u200d!", "(\u200d)", "ա ո", "x²", "H₂O", "ᴬbc"]
+    missed = [v for v, hit in zip(changed, pc.match_substring_regex(pa.array(changed), k.SUSPECT).to_pylist(), strict=True) if not hit]
+    assert len(changed) > 5000 and missed == []
+    usual = pa.array([v for v in CLEAN[4:6] if v])
+    assert not any(pc.match_substring_regex(usual, k.SUSPECT).to_pylist())
+
+
+def test_odd_characters_alone_in_a_value(spark):
+    assert canonical(spark, ["a !\u200d! b", "10 m²"]) == ["a !! b", "10 m2"]
+    assert canonical(spark, ["oոline shop"]) == ["online shop"]
+
+
 def test_trie_search():
     trie = k.LookalikeTrie()
     for word, n in (("cope", 3), ("cape", 9), ("قیمت", 2)):
