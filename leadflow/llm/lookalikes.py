@@ -2,8 +2,8 @@
 
 Method: the corpus gives a vocabulary of clean spellings. Tries over it, one for each slice of the
 look-alike classes, are traversed with a weighted edit automaton that gives zero cost to look-alikes
-and ignorable characters and one to any other edit; the cheapest spelling within the budget (0 by
-default) becomes the token's. Tokens that no spelling matches are put right by table.
+and ignorable characters and one to any other edit; the cheapest spelling within the budget becomes
+the token's. The budget is always 0 here, which leaves an equality lookup on the look-alike class. Tokens that no spelling matches are put right by table.
 
 One pass over the values does both jobs: Arrow's regular expressions (linear time, over whole
 batches) pick out the values with a character of interest, which are dissected, and the words of all
