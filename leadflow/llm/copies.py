@@ -3,8 +3,10 @@
 Method: every record is put into one canonical text, the canonical records are range-partitioned
 and sorted (Spark's external sort spills to disk), and adjacent runs are scanned, comparing full
 keys. Range bounds cover (key, id), so a record with very many copies is spread over several
-partitions; such a run is joined up from the per-partition summaries of first and last runs, of
-which there are at most two per partition.
+partitions. The scan keeps one key, one id and one count, whatever the size of its partition: rows
+leave as they come, with the first id of their run, and a run's length leaves at its end. Only the
+first run of a partition can have begun in an earlier one; it is joined up from one summary of the
+first and one of the last run of each partition.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +32,13 @@ def _bare(value: Column) -> Column:
 
 
 def canonical_handle(value: Column) -> Column:
-    """A handle without ``@``; inner dots, underscores and hyphens stay."""
-    return F.ltrim(_bare(value), F.lit("@" + _EDGE))
+    """A handle without ``@`` and closing slashes; inner dots, underscores and hyphens stay."""
+    return _handle(_bare(value))
+
+
+def _handle(text: Column) -> Column:
+    """``canonical_handle`` of a bare text."""
+    return F.rtrim(F.ltrim(text, F.lit("@" + _EDGE)), F.lit("/" + _EDGE))
 
 
 def _address(text: Column) -> Column:
@@ -72,43 +80,81 @@ def canonical_records(
     found = found.select("id", *[
         F.when((F.col(f"c{i}") == "") & F.col("raw").isNotNull(), _bare(raw_field(F.col("raw"), name))).otherwise(F.col(f"c{i}")).alias(f"c{i}")
         for i, name in enumerate(raw_names)])
-    found = found.select("id", F.ltrim(F.col("c0"), F.lit("@" + _EDGE)).alias("c0"), _address(F.col("c1")).alias("c1"), _address(F.col("c2")).alias("c2"))
+    found = found.select("id", _handle(F.col("c0")).alias("c0"), _address(F.col("c1")).alias("c1"), _address(F.col("c2")).alias("c2"))
     blank = (F.col("c0") == "") & (F.col("c1") == "") & (F.col("c2") == "")
     return found.select("id", F.when(blank, "").otherwise(F.concat_ws("\x01", "c0", "c1", "c2")).alias("key"))
 
 
-_SCANNED = "id long, local_id long, local_n long, head boolean, edge_key string"
+_SCANNED = "id long, keep long, part int, n long, edge string"
+_SCAN_TYPES = pa.schema([("id", pa.int64()), ("keep", pa.int64()), ("part", pa.int32()), ("n", pa.int64()), ("edge", pa.string())])
 
 
 def _scan(batches):
-    """Adjacent runs of one sorted partition; runs that touch its ends keep their key.
+    """Adjacent runs of one sorted partition, batch by batch.
 
-    A task holds its own slice of the range, as Arrow text: total / shuffle partitions, also for a
-    hot key, since the range bounds cut through it.
+    Two kinds of rows leave: ``id, keep, part`` for a row, where ``part`` is set in the first run only,
+    and ``keep, n`` for a run; the first and the last run of the partition keep their key as ``edge``,
+    and ``part`` with it. Between batches one key, its first id and its length are held.
     """
-    held = list(batches)
-    if not held:
-        return
-    whole = pa.Table.from_batches(held).combine_chunks()
-    n = whole.num_rows
-    if not n:
-        return
-    keys, ids = whole.column("key").combine_chunks(), whole.column("id").to_numpy()
-    new = np.ones(n, bool)
-    if n > 1:
+    part = TaskContext.get().partitionId()
+    key, keep, length, first = None, 0, 0, True
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        keys, ids = batch.column(batch.schema.get_field_index("key")), batch.column(batch.schema.get_field_index("id")).to_numpy()
+        new = np.ones(n, bool)
         new[1:] = pc.not_equal(keys.slice(1), keys.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-    starts = np.flatnonzero(new)
-    run = np.cumsum(new) - 1
-    lengths = np.diff(np.append(starts, n))
-    edge = (run == 0) | (run == len(starts) - 1)
-    yield from pa.table({
-        "id": pa.array(ids), "local_id": pa.array(ids[starts][run]), "local_n": pa.array(lengths[run].astype(np.int64)),
-        "head": pa.array(new), "edge_key": pc.if_else(pa.array(edge), keys, pa.scalar(None, keys.type)),
-    }).to_batches(max_chunksize=20_000)
-
-
-def collapse_copies(keyed: DataFrame) -> DataFrame:
-    """One row per row of ``id, key`` with a non-blank key: ``id, keep_id, copies``.
+        new[0] = key is None or keys[0].as_py() != key
+        starts = np.flatnonzero(new)
+        # Rows before the first start go on with the run of the batch before.
+        run = np.cumsum(new) - 1
+        kept = np.where(run < 0, keep, ids[starts[np.maximum(run, 0)]] if len(starts) else keep)
+        still = first and key is not None
+        in_first = (run < 0) & still if key is not None else run == 0
+        yield _rows(ids, kept, np.where(in_first, part, -1))
+        bounds = np.append(starts, n)
+        closed_keep, closed_n = [], []
+        if len(starts) and key is not None:
+            # The run held from before ends here.
+            if first:
+                yield _run(keep, length + int(starts[0]), part, key)
+                first = False
+            else:
+                closed_keep, closed_n = [keep], [length + int(starts[0])]
+        lengths = np.diff(bounds)
+        if len(starts) > 1:
+            whole = slice(0, len(starts) - 1)
+            if key is None:
+                yield _run(int(ids[starts[0]]), int(lengths[0]), part, keys[int(starts[0])].as_py())
+                first = False
+                whole = slice(1, len(starts) - 1)
+            closed_keep += ids[starts[whole]].tolist()
+            closed_n += lengths[whole].tolist()
+        if closed_keep:
+            m = len(closed_keep)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(closed_keep, pa.int64()), pa.nulls(m, pa.int32()), pa.array(closed_n, pa.int64()), pa.nulls(m, pa.string())], schema=_SCAN_TYPES)
+        if len(starts):
+            key, keep, length = keys[int(starts[-1])].as_py(), int(ids[starts[-1]]), int(lengths[-1])
+        else:
+            length += n
+    if key is not None:
+        yield _run(keep, length, part if first else -1, key)
+
+
+def _rows(ids: np.ndarray, kept: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+    n = len(ids)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids), pa.array(kept.astype(np.int64)), pa.array(part.astype(np.int32), mask=part < 0), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], schema=_SCAN_TYPES)
+
+
+def _run(keep: int, n: int, part: int, key: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.nulls(1, pa.int64()), pa.array([keep], pa.int64()), pa.array([part if part >= 0 else None], pa.int32()), pa.array([n], pa.int64()), pa.array([key])], schema=_SCAN_TYPES)
+
+
+def scan_runs(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``id, keep_id`` of each row of ``id, key`` with a non-blank key, ``keep_id, copies`` of each record).
 
     ``keep_id`` is the smallest id of the rows with an equal key, ``copies`` how many there are.
     Rows whose key is null or '' are no record and give no row; a null id counts as no row; repeated
@@ -119,25 +165,34 @@ def collapse_copies(keyed: DataFrame) -> DataFrame:
     keyed = stored(keyed.select("id", "key"), "keys").where("key <> '' and id is not null").select("key", "id")
     ordered = keyed.repartitionByRange(partitions_of(spark), "key", "id").sortWithinPartitions("key", "id")
     scanned = stored(ordered.mapInArrow(_scan, _SCANNED), "runs")
-    edges = scanned.where("edge_key is not null and head").groupBy("edge_key").agg(
-        F.min("local_id").alias("keep_all"), F.sum("local_n").alias("n_all"))
-    # At most two rows per partition of the sort, whatever the data.
-    joined = scanned.join(F.broadcast(edges), "edge_key", "left")
-    return joined.select(
-        "id", F.coalesce("keep_all", "local_id").alias("keep_id"), F.coalesce("n_all", "local_n").alias("copies"))
+    # Two rows at most for each partition of the sort. Full keys are compared.
+    edges = scanned.where("id is null and edge is not null")
+    whole = edges.groupBy("edge").agg(F.min("keep").alias("keep_id"), F.sum("n").alias("copies"))
+    # One number for each partition, whatever the length of the keys.
+    begun = edges.where("part is not null").join(whole, "edge").select("part", "keep_id")
+    rows = scanned.where("id is not null").select("id", "keep", "part").join(F.broadcast(begun), "part", "left")
+    inner = scanned.where("id is null and edge is null").select(F.col("keep").alias("keep_id"), F.col("n").alias("copies"))
+    return rows.select("id", F.coalesce("keep_id", "keep").alias("keep_id")), inner.unionByName(whole.select("keep_id", "copies"))
 
 
-def _copies(spark: SparkSession, root: str) -> DataFrame:
-    return collapse_copies(canonical_records(table(spark, root, "lead_import"), "import_id"))
+def collapse_copies(keyed: DataFrame) -> DataFrame:
+    """``keep_id, copies``: one row per record with its representative and the exact number of its copies."""
+    return scan_runs(keyed)[1]
+
+
+def copies_of(keyed: DataFrame) -> DataFrame:
+    """``id, keep_id``: every row with the representative of its record."""
+    return scan_runs(keyed)[0]
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
-    return _copies(spark, root).where("id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))
+    rows = copies_of(canonical_records(table(spark, root, "lead_import"), "import_id"))
+    return rows.where("id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))
 
 
 def p3_records(spark: SparkSession, root: str) -> DataFrame:
     """One row per record: its representative and the exact number of its copies."""
-    return _copies(spark, root).where("id = keep_id").select("keep_id", "copies")
+    return collapse_copies(canonical_records(table(spark, root, "lead_import"), "import_id"))
 
 
 # ---- the same in SQL ----
@@ -166,7 +221,7 @@ def _s_address(x: str) -> str:
 _FIELDS = (("username", "username"), ("instagram_url", "instagramurl"), ("website", "website"))
 _S_KEYS = f"""WITH a AS (SELECT import_id, nullif(raw, '') AS raw, {', '.join(f'{_s_bare(c)} AS c{i}' for i, (c, _) in enumerate(_FIELDS))} FROM lead_import),
 b AS (SELECT import_id, {', '.join(f"CASE WHEN c{i} = '' AND raw IS NOT NULL THEN {_s_bare(_s_raw(n))} ELSE c{i} END AS c{i}" for i, (_, n) in enumerate(_FIELDS))} FROM a),
-c AS (SELECT import_id, regexp_replace(c0, '^(?:@|{_S_EDGE})+', '') AS c0, {_s_address('c1')} AS c1, {_s_address('c2')} AS c2 FROM b),
+c AS (SELECT import_id, regexp_replace(regexp_replace(c0, '^(?:@|{_S_EDGE})+', ''), '(?:/|{_S_EDGE})+$', '') AS c0, {_s_address('c1')} AS c1, {_s_address('c2')} AS c2 FROM b),
 k AS (SELECT import_id, min(import_id) OVER (PARTITION BY c0, c1, c2) AS keep_id FROM c WHERE c0 <> '' OR c1 <> '' OR c2 <> '')"""
 
 QUERIES = {"p3_found": p3_found, "p3_records": p3_records}

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+# Imported here and not on demand, so that a missing module shows where this one is imported.
+from . import batch_dedup, copies, languages, linkage, lookalikes, packing, reference_match, token_ids
 
-MODULES = ("linkage", "lookalikes", "copies", "reference_match", "batch_dedup", "token_ids", "packing", "languages")
+MODULES = (linkage, lookalikes, copies, reference_match, batch_dedup, token_ids, packing, languages)
 
 
 def _collect(name: str) -> dict:
     found: dict = {}
     for module in MODULES:
-        found.update(getattr(import_module(f"{__package__}.{module}"), name, {}))
+        found.update(getattr(module, name, {}))
     return found
 
 
