@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -17,12 +20,15 @@ DEFAULTS = {
 
 
 def local_session(cpus: int = 8, memory: str = "8g", partitions: int | None = None) -> SparkSession:
-    """A ``local[cpus]`` session for tests and benchmarks."""
+    """A ``local[cpus]`` session for tests and benchmarks, with a folder for its cut points."""
+    folder = tempfile.mkdtemp(prefix="leadflow-")
+    atexit.register(shutil.rmtree, folder, True)
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions or cpus))
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", f"file://{folder}")
     )
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
