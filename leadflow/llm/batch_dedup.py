@@ -1,18 +1,24 @@
 """New batches checked against all history (problem 5).
 
-Method: an index on disk holds, partitioned by a hash of the key, the exact keys of every shop
-record (account, site) and, for every distinct account, minwise band keys with a sketch of its
-signature. A batch probes only the buckets of its own keys, verifies what it meets, and appends the
-keys that the index lacks. History is read by key, never compared row by row.
+Method: an index on disk holds, partitioned by a hash of the key, the exact keys of every shop record
+(account, site) and, for every distinct account, minwise band keys with a sketch of its signature. A
+batch finds out which partitions its own keys fall into, reads those only, verifies what it meets, and
+appends the keys that the index lacks. History is read by key, never compared row by row, and it
+stays where it lies: the keys of a batch travel to it, not the other way round.
 
 Copies of a key are one node of the index, so that a key held by a third of all rows is one entry
-and costs one comparison. Nodes that a later record shows to be the same shop are joined at the end,
-over the links alone.
+and costs one comparison. Nodes that a later record shows to be the same shop are joined when the
+result is asked for, over the links alone.
+
+Accounts too short for shingles have, in place of bands, the keys of their deletion neighbourhood, by
+which every slip is met; where both kinds end, an account has both.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
 import numpy as np
@@ -21,27 +27,36 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.durable import stored, stored_path
+from ..plans.durable import discard, discard_tables, names_in, stored, stored_path, touch
 from ..sources.tables import table
 from .copies import canonical_address, canonical_handle
 from .reference_match import edit_distance
 
-#: Minwise bands and rows in a band. Measured on 3,000 random slips of each kind: letters added, lost or
-#: replaced are all found, swaps of neighbours at 0.998; accounts that share one of two words are seldom met.
+#: Minwise bands and rows in a band; the README has their recall for slips of each kind.
 BANDS, ROWS = 48, 2
-#: Least and most letters between the two parts of a shingle: it spans what one shared word does not,
-#: and the shingles of a text grow in proportion to it.
+#: Letters between the two parts of a shingle: at least so many that one shared word makes few equal
+#: shingles, at most so many that the shingles of a text grow in proportion to it.
 SPAN, FAR_SPAN = 5, 40
-#: Buckets of the index by hash of the key; a deployment gives each some hundred MB.
+#: Accounts of up to this many letters are met by their deletion neighbourhood.
+SHORT = 12
+#: Partitions of a new index by hash of the key. A deployment gives each some hundred MB; a batch with
+#: fewer keys than partitions reads some of them only.
 BUCKETS = 16
-#: Bits by which the 64-bit sketches of two accounts may differ; unrelated accounts differ by 32, slips by 20.
-SKETCH_BITS = 32
-#: Letters that an account needs for a slip to be told from another name.
-LEAST_LETTERS = 6
-#: A path segment met on more hosts than this is a page, not an account.
-PAGE_HOSTS = 3
-#: Hosts with this many account-like paths are shared by many shops.
-SHARED_PATHS = 2
+#: Keys of a batch (8 bytes each, or a short text) that travel to the index as a broadcast; beyond it
+#: both sides are shuffled.
+SENT_KEYS = 1_000_000
+#: Bits by which the 64-bit sketches of a slip and its account may differ: slips differ by 20 with a
+#: deviation of 4, so that six deviations are left.
+SKETCH_BITS = 44
+#: Letters from which an account can hold a slip: every word of three is a slip away from many others.
+LEAST_LETTERS = 4
+#: A host is shared by many shops if so many of its paths are each the account of a record that names it.
+OWN_PATHS = 2
+#: Where records name no accounts: a host with so many paths that are no pages, each new on most records.
+OTHER_PATHS, NEW_SHARE = 4, 0.75
+# Paths that are pages of a site.
+PAGES = """about cart catalog catalogue category categories contact en entry explore fa faq home index info item items list main menu news
+ order orders page pages post posts prices product products profile sale search shop shops store stores tag tags terms""".split()
 
 _PROFILE = "^(?:m\\.)?instagram\\.[a-z]+/([^/?#]+)"
 
@@ -56,32 +71,42 @@ def host_and_path(website: Column) -> tuple[Column, Column]:
     return F.regexp_extract(address, "^([^/?#]+\\.[^/?#]+)", 1), F.regexp_extract(address, "^[^/?#]+/([^/?#]+)", 1)
 
 
-def shared_hosts(records: DataFrame, website: str = "website") -> DataFrame:
-    """Hosts used by many shops: those with several paths that few other hosts have."""
-    host, path = host_and_path(F.col(website))
-    pairs = records.select(host.alias("host"), path.alias("path")).where("host <> '' and path <> ''").distinct()
-    own = pairs.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") <= PAGE_HOSTS).select("path")
-    return pairs.join(own, "path").groupBy("host").agg(F.count("*").alias("paths")).where(F.col("paths") >= SHARED_PATHS).select("host")
-
-
-def record_keys(records: DataFrame, shared: DataFrame, row_id: str = "lead_id") -> DataFrame:
-    """``id, kind, text``: the nodes a record belongs to. Blank and missing fields give none."""
+def record_fields(records: DataFrame, row_id: str = "lead_id") -> DataFrame:
+    """``id, a1, a2, host, path``: accounts and site of each record; '' for blank and missing ones."""
     host, path = host_and_path(F.col("website"))
-    base = records.select(
+    return records.select(
         F.col(row_id).cast("long").alias("id"), compact(canonical_handle(F.col("username"))).alias("a1"),
-        compact(F.regexp_extract(canonical_address(F.col("instagram_url")), _PROFILE, 1)).alias("a2"), host.alias("host"), path.alias("path"))
-    # The hosts shared by many shops are few, but their number is not bounded: Spark picks the join by size.
-    known = base.join(shared.withColumn("many", F.lit(True)), "host", "left")
-    nodes = F.array(
-        F.struct(F.lit("a").alias("kind"), F.col("a1").alias("text")), F.struct(F.lit("a").alias("kind"), F.col("a2").alias("text")),
-        F.struct(F.lit("a").alias("kind"), F.when(F.col("many"), compact(F.col("path"))).otherwise("").alias("text")),
-        F.struct(F.lit("h").alias("kind"), F.when(F.col("many").isNull(), F.col("host")).otherwise("").alias("text")))
-    return known.where("id is not null").select("id", F.explode(F.array_distinct(nodes)).alias("n")).select("id", "n.kind", "n.text").where("text <> ''")
+        compact(F.regexp_extract(canonical_address(F.col("instagram_url")), _PROFILE, 1)).alias("a2"), host.alias("host"), path.alias("path"),
+    ).where("id is not null")
+
+
+_SITE = "host string, path string, id long, n long, own boolean, batch int"
+
+
+def sites_of(fields: DataFrame, batch: int = 0) -> DataFrame:
+    """``host, path, id, n, own, batch``: how many records name a path of a host, the first of them, and
+    whether it is the account of one."""
+    own = (F.col("account") == F.col("a1")) | (F.col("account") == F.col("a2"))
+    return fields.where("host <> '' and path <> ''").withColumn("account", compact(F.col("path"))).groupBy("host", "path").agg(
+        F.min("id").alias("id"), F.count("*").alias("n"), F.max(own).alias("own")).withColumn("batch", F.lit(batch))
+
+
+def shared_among(sites: DataFrame) -> DataFrame:
+    """``host``: the hosts that, by the evidence of their own records, are shared by many shops."""
+    other = ~F.col("path").isin(PAGES)
+    return sites.groupBy("host", "path").agg(F.sum("n").alias("n"), F.max("own").alias("own")).groupBy("host").agg(
+        F.count_if("own").alias("owned"), F.count_if(other).alias("paths"), F.sum(F.when(other, F.col("n"))).alias("named")
+    ).where((F.col("owned") >= OWN_PATHS) | ((F.col("paths") >= OTHER_PATHS) & (F.col("paths") >= NEW_SHARE * F.col("named")))).select("host")
+
+
+def shared_hosts(records: DataFrame) -> DataFrame:
+    """The shared hosts of a whole table (``lead_id, username, instagram_url, website``)."""
+    return shared_among(sites_of(record_fields(records)))
 
 
 def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20_240_501)
-    return rng.integers(1, 1 << 62, n, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 62, n, dtype=np.uint64)
+    return rng.integers(1, 1 << 32, n, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, n, dtype=np.uint32)
 
 
 @lru_cache(256)
@@ -94,61 +119,88 @@ def _spans(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(texts: list[str], size: int) -> np.ndarray:
-    """Minwise signature of the shingles of each text, each a bigram and a trigram some letters on."""
+    """Minwise signature of the shingles of each text, each a bigram and a trigram some letters on.
+
+    Texts of one length are worked on together.
+    """
     a, b = _multipliers(size)
     out = np.empty((len(texts), size), np.uint64)
+    by_length: dict[int, list[int]] = {}
     for row, text in enumerate(texts):
-        points = np.frombuffer(f"\x02\x02{text}\x03".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        grams = (points[:-2] << np.uint64(42)) ^ (points[1:-1] << np.uint64(21)) ^ points[2:]
-        grams = (grams ^ (grams >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        grams ^= grams >> np.uint64(32)
-        pairs = ((points[:-2] << np.uint64(21)) ^ points[1:-1]) * np.uint64(0x9E3779B97F4A7C15)
-        i, j = _spans(len(grams))
-        shingles = (pairs[i] * np.uint64(0x94D049BB133111EB)) ^ grams[j]
-        shingles ^= shingles >> np.uint64(29)
-        least = np.full(size, np.iinfo(np.uint64).max, np.uint64)
-        for at in range(0, len(shingles), 4096):
-            mixed = shingles[at : at + 4096, None] * a[None, :] + b[None, :]
-            np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(0), out=least)
-        out[row] = least
+        by_length.setdefault(len(text), []).append(row)
+    for length, rows in by_length.items():
+        i, j = _spans(length + 1)
+        step = max(1, 60_000 // len(i))
+        for at in range(0, len(rows), step):
+            some = rows[at : at + step]
+            whole = "".join(f"\x02\x02{texts[r]}\x03" for r in some)
+            points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64).reshape(len(some), -1)
+            grams = (points[:, :-2] << np.uint64(42)) ^ (points[:, 1:-1] << np.uint64(21)) ^ points[:, 2:]
+            grams = (grams ^ (grams >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            grams ^= grams >> np.uint64(32)
+            pairs = ((points[:, :-2] << np.uint64(21)) ^ points[:, 1:-1]) * np.uint64(0x9E3779B97F4A7C15)
+            shingles = (pairs[:, i] * np.uint64(0x94D049BB133111EB)) ^ grams[:, j]
+            shingles ^= shingles >> np.uint64(29)
+            # 32 bits are enough for an order, and the processor multiplies eight of them at once.
+            shingles = ((shingles * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.uint32)
+            mixed = np.empty_like(shingles)
+            for k in range(size):
+                np.multiply(shingles, a[k], out=mixed)
+                mixed += b[k]
+                # The order follows the upper bits, which the product mixes best.
+                out[some, k] = mixed.min(1)
     return out
 
 
 _DIGITS = regex.compile("[^\\p{N}]+")
 
 
+def hash_text(text: str) -> int:
+    """A stable 64-bit hash."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def deletion_keys(text: str, digits: str) -> set[int]:
+    """Keys of the text and of every form with one letter left out: two texts a slip apart share one."""
+    return {hash_text(f"{digits}\x1f{form}") for form in (text, *(text[:i] + text[i + 1 :] for i in range(len(text))))}
+
+
 def _bands(batches):
     """Band keys and sketch of each account; digits are part of the key, since they are no slip."""
+    size = max(64, BANDS * ROWS)
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        size = max(64, BANDS * ROWS)
+        texts, ids = batch.column("text").to_pylist(), batch.column("id")
+        digits = [_DIGITS.sub("", t) for t in texts]
         marks = signatures(texts, size)
         sketch = np.zeros(len(texts), np.uint64)
         for bit in range(64):
-            sketch |= (marks[:, bit] & np.uint64(1)) << np.uint64(bit)
-        digits = np.array([hash_text(_DIGITS.sub("", t)) for t in texts], np.uint64)
-        keys = np.empty((len(texts), BANDS), np.uint64)
-        for band in range(BANDS):
-            mixed = digits + np.uint64(band * 7919 + 1)
-            for k in range(ROWS):
-                mixed = (mixed ^ marks[:, band * ROWS + k]) * np.uint64(0x9E3779B97F4A7C15)
-                mixed ^= mixed >> np.uint64(31)
-            keys[:, band] = mixed
-        flat = keys.reshape(-1).view(np.int64)
-        each = pa.array(np.repeat(np.arange(len(texts)), BANDS))
+            sketch |= ((marks[:, bit] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)) << np.uint64(bit)
+        places: list[np.ndarray] = []
+        keys: list[np.ndarray] = []
+        long = np.array([i for i, t in enumerate(texts) if len(t) > SHORT], int)
+        if len(long):
+            salt = np.array([hash_text(digits[i]) for i in long], np.uint64)
+            banded = np.empty((len(long), BANDS), np.uint64)
+            for band in range(BANDS):
+                mixed = salt + np.uint64(band * 7919 + 1)
+                for k in range(ROWS):
+                    mixed = (mixed ^ marks[long, band * ROWS + k]) * np.uint64(0x9E3779B97F4A7C15)
+                    mixed ^= mixed >> np.uint64(31)
+                banded[:, band] = mixed
+            places.append(np.repeat(long, BANDS))
+            keys.append(banded.reshape(-1))
+        for i, text in enumerate(texts):
+            if len(text) <= SHORT + 1:
+                found = np.array(sorted(deletion_keys(text, digits[i])), np.uint64)
+                places.append(np.full(len(found), i))
+                keys.append(found)
+        each = pa.array(np.concatenate(places) if places else np.zeros(0, int))
+        flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(flat), batch.column("id").take(each), batch.column("text").take(each), pa.array(np.repeat(sketch.view(np.int64), BANDS))],
+            [pa.array(flat.view(np.int64)), ids.take(each), batch.column("text").take(each), pa.array(sketch.view(np.int64)).take(each)],
             names=["key", "id", "text", "sketch"])
 
 
-def hash_text(text: str) -> int:
-    """A stable 64-bit hash (FNV-1a)."""
-    found = 0xCBF29CE484222325
-    for byte in text.encode():
-        found = ((found ^ byte) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-    return found
-
-
 def same_but_for_slip(a: str, b: str) -> bool:
     """One letter added, lost, changed or swapped with its neighbour; digits agree."""
     return _DIGITS.sub("", a) == _DIGITS.sub("", b) and edit_distance(a, b, 1) <= 1
@@ -160,80 +212,157 @@ def _verify(batches):
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
-_EXACT = "node string, known long"
+_EXACT = "node string, known long, part string"
 _BAND = "key long, id long, text string, sketch long"
+_BANDS = f"{_BAND}, part string"
 _LINK = "a long, b long"
-_ROWS = "id long, batch int, nodes array<long>"
+_ROWS = "id long, batch int, host string, kind string, text string, node string"
+_SITES = f"{_SITE}, part string"
+_SHARED = "host string"
 
 
 class ShopIndex:
-    """The index of one history, below ``path``.
+    """The index of one history, below ``path``; opened again if it is there already.
 
-    ``exact`` (by node) and ``bands`` (by band key) are bucketed tables: a batch is dealt into the same
-    buckets and meets each bucket where it lies, so that history is neither shuffled nor sorted into
-    place again for a batch. ``links`` and ``rows`` hold what each batch found.
+    ``exact`` (by node), ``bands`` (by band key) and ``sites`` (by host) are folders of one partition
+    for each hash, ``shared`` (hosts shared by many shops), ``rows`` and ``links`` of one for each
+    batch. A part counts once its name stands in ``done``: what a broken run left behind is never read.
     """
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
         self.spark, self.path = spark, path
-        self.name = f"shops_{uuid.uuid4().hex}"
-        self._append(spark.createDataFrame([], _EXACT), "exact", "node")
-        self._append(spark.createDataFrame([], _BAND), "bands", "key")
-        for name, schema in (("rows", _ROWS), ("links", _LINK)):
-            spark.createDataFrame([], schema).coalesce(1).write.parquet(f"{path}/{name}/part=none")
-
-    def _append(self, rows: DataFrame, name: str, key: str) -> None:
-        # One task for each bucket, hence one file in each bucket for a batch.
-        rows.repartition(BUCKETS, key).write.mode("append").format("parquet").bucketBy(BUCKETS, key).option("path", f"{self.path}/{name}").saveAsTable(f"{self.name}_{name}")
-
-    def _table(self, name: str) -> DataFrame:
-        return self.spark.table(f"{self.name}_{name}")
-
-    def close(self) -> None:
-        """Forget the table names; the files stay."""
-        for name in ("exact", "bands"):
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{name}")
-
-    def add(self, keys: DataFrame, batch: int, accepted: bool = False) -> None:
-        """Probe with the records of one batch (``id, kind, text``), then append what is new.
-
-        ``accepted``: these records are the history, one of each shop; they are indexed and joined by
-        equal keys, but not searched for slips among themselves.
+        held = [n for n in names_in(spark, f"{path}/meta") if n.startswith("buckets-")]
+        self.buckets = int(held[0].split("-")[1]) if held else buckets
+        self.parts = names_in(spark, f"{path}/done")
+        if not held:
+            touch(spark, f"{path}/meta/buckets-{buckets}")
+
+    def _bucket(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def _append(self, rows: DataFrame, name: str, part: str, key: str) -> None:
+        # Few files for a batch: one task writes a bucket, and small ones share a task.
+        placed = rows.withColumns({"part": F.lit(part), "bucket": self._bucket(key)}).repartition("bucket")
+        placed.write.mode("append").partitionBy("bucket").parquet(f"{self.path}/{name}")
+
+    def _keyed(self, name: str, schema: str, buckets: list[int] | None = None, also: str | None = None) -> DataFrame:
+        """The rows of a partitioned folder in the given buckets, of parts that are done and of ``also``."""
+        folders = names_in(self.spark, f"{self.path}/{name}")
+        wanted = [n for n in folders if n.startswith("bucket=") and (buckets is None or int(n[7:]) in buckets)]
+        parts = [*self.parts, *([also] if also else [])]
+        if not wanted or not parts:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{name}/{n}" for n in wanted]).where(F.col("part").isin(parts))
+
+    def _listed(self, name: str, schema: str, also: str | None = None) -> DataFrame:
+        """The rows of a folder of parts."""
+        held = set(names_in(self.spark, f"{self.path}/{name}"))
+        folders = [f"{self.path}/{name}/{p}" for p in dict.fromkeys([*self.parts, *([also] if also else [])]) if p in held]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def _probe(self, name: str, schema: str, keys: DataFrame, key: str, also: str | None = None) -> DataFrame:
+        """The rows of the index that hold one of the keys, read from the buckets of these keys only."""
+        # One row for each bucket comes to the driver.
+        touched = {r.bucket: r.n for r in keys.groupBy(self._bucket(key).alias("bucket")).agg(F.count("*").alias("n")).collect()}
+        kept = self._keyed(name, schema, list(touched), also).drop("part")
+        asked = keys.select(key).distinct()
+        return kept.join(F.broadcast(asked) if sum(touched.values()) <= SENT_KEYS else asked, key, "left_semi")
+
+    def shared(self, also: str | None = None) -> DataFrame:
+        return self._listed("shared", _SHARED, also).distinct()
+
+    def add(self, records: DataFrame, batch: int, accepted: bool = False, row_id: str = "lead_id") -> None:
+        """Probe with the records of one batch, then append what is new.
+
+        ``records`` has ``row_id, username, instagram_url, website``; other columns are ignored, rows
+        without an id dropped. ``accepted``: these records are the history, one of each shop; they are
+        indexed and joined by equal keys, but not searched for slips among themselves.
         """
-        keys = keys.select("id", "kind", "text", F.concat_ws(":", "kind", "text").alias("node"))
-        nodes = keys.groupBy("node", "kind", "text").agg(F.min("id").alias("first"))
-        nodes = stored(nodes.hint("shuffle_hash").join(self._table("exact"), "node", "left").select("node", "kind", "text", "first", "known"), "batch-nodes")
-        fresh = nodes.where("known is null")
-        accounts = fresh.where((F.col("kind") == "a") & (F.length(F.regexp_replace("text", "\\p{N}", "")) >= LEAST_LETTERS)).select(F.col("first").alias("id"), "text")
-        own = stored(accounts.mapInArrow(_bands, _BAND), "batch-bands")
-        self._append(own, "bands", "key")
-        home = F.coalesce("known", "first")
-        placed = keys.join(nodes, ["node"]).groupBy("id").agg(F.collect_set(home).alias("nodes"))
-        placed.select("id", F.lit(batch).alias("batch"), "nodes").write.parquet(f"{self.path}/rows/part={batch}")
-        if not accepted:
-            self._slips(own).write.parquet(f"{self.path}/links/part={batch}")
-        self._append(fresh.select("node", F.col("first").alias("known")), "exact", "node")
-
-    def _slips(self, own: DataFrame) -> DataFrame:
+        part = f"{batch}-{uuid.uuid4().hex[:12]}"
+        fields = stored(record_fields(records, row_id), "batch-fields")
+        with ThreadPoolExecutor(4) as jobs:
+            waiting = []
+            earlier = self._sites(fields, batch, part, lambda job: waiting.append(jobs.submit(job)))
+            many = self.shared(part).withColumn("many", F.lit(True))
+            # The hosts shared by many shops are few, but their number is not bounded: Spark picks the join by size.
+            known = fields.join(many, "host", "left")
+            site, node = (F.col("host") != "") & F.col("many").isNull(), lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+            nodes = F.array(
+                node("a", F.col("a1")), node("a", F.col("a2")), node("a", F.when(F.col("many"), compact(F.col("path"))).otherwise("")), node("h", F.when(site, F.col("host")).otherwise("")),
+                # Counts only if the host turns out to be shared later.
+                node("p", F.when(site & (F.col("path") != ""), F.concat_ws("/", "host", "path")).otherwise("")))
+            keys = known.select("id", F.lit(batch).alias("batch"), "host", F.explode(F.array_distinct(nodes)).alias("n")).select("id", "batch", "host", "n.kind", "n.text").where("text <> ''")
+            keys = keys.unionByName(earlier) if earlier is not None else keys
+            keys.withColumn("node", F.concat_ws(":", "kind", "text")).write.parquet(f"{self.path}/rows/{part}")
+            keys = self.spark.read.schema(_ROWS).parquet(f"{self.path}/rows/{part}")
+            met = self._probe("exact", _EXACT, keys.select("node"), "node")
+            new = keys.groupBy("node", "kind", "text").agg(F.min("id").alias("known")).join(met.select("node"), "node", "left_anti")
+            fresh = stored(new, "batch-fresh")
+            waiting.append(jobs.submit(lambda: self._append(fresh.select("node", "known"), "exact", part, "node")))
+            letters = F.length(F.regexp_replace("text", "\\p{N}", ""))
+            accounts = fresh.where((F.col("kind") == "a") & (letters >= LEAST_LETTERS)).select(F.col("known").alias("id"), "text")
+            self._append(accounts.mapInArrow(_bands, _BAND), "bands", part, "key")
+            if not accepted:
+                self._slips(part).write.parquet(f"{self.path}/links/{part}")
+            for job in waiting:
+                job.result()
+        touch(self.spark, f"{self.path}/done/{part}")
+        self.parts.append(part)
+        discard_tables(fields)
+        discard_tables(fresh)
+
+    def _sites(self, fields: DataFrame, batch: int, part: str, later) -> DataFrame | None:
+        """Learn which hosts are shared, from this batch and what came before.
+
+        Gives the keys of earlier records that named a path of a host now found to be shared: as the
+        host did not look shared then, their paths were not taken for accounts.
+        """
+        new = sites_of(fields, batch).join(self.shared(), "host", "left_anti")
+        before = self._probe("sites", _SITES, fields.where("path <> ''").select("host"), "host")
+        later(lambda: self._append(new, "sites", part, "host"))
+        seen = before.unionByName(new)
+        shared_among(seen).write.parquet(f"{self.path}/shared/{part}")
+        found = self.spark.read.schema(_SHARED).parquet(f"{self.path}/shared/{part}")
+        if found.isEmpty():
+            return None
+        return before.join(found, "host").select("id", "batch", "host", F.lit("a").alias("kind"), compact(F.col("path")).alias("text")).where("text <> ''")
+
+    def _slips(self, part: str) -> DataFrame:
         """Links of a batch's new accounts to those one slip away, of history or of the batch."""
-        met = self._table("bands").select("key", F.col("id").alias("other_id"), F.col("text").alias("other"), F.col("sketch").alias("other_sketch"))
-        pairs = met.join(own.hint("shuffle_hash"), "key").where(
+        own = self._keyed("bands", _BANDS, also=part).where(F.col("part") == part).drop("part")
+        met = self._probe("bands", _BANDS, own.select("key"), "key", part)
+        met = met.select("key", F.col("id").alias("other_id"), F.col("text").alias("other"), F.col("sketch").alias("other_sketch"))
+        pairs = met.join(own, "key").where(
             (F.col("text") != F.col("other")) & (F.col("id") != F.col("other_id")) & (F.abs(F.length("text") - F.length("other")) <= 1)
-            & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("other_sketch"))) <= SKETCH_BITS)
+            & ((F.length("text") <= SHORT) | (F.length("other") <= SHORT) | (F.bit_count(F.col("sketch").bitwiseXOR(F.col("other_sketch"))) <= SKETCH_BITS))
             # A cheap bound inside the JVM; a swap of neighbours is two edits there.
             & (F.levenshtein("text", "other", 2) >= 0))
         found = pairs.select("text", "other", "id", "other_id").distinct().mapInArrow(_verify, "text string, other string, id long, other_id long")
         return found.select(F.col("id").alias("a"), F.col("other_id").alias("b"))
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.path}/{name}")
+    def compact(self) -> None:
+        """Rewrite the small files of many parts as those of one; the old files stay until they are deleted."""
+        part = f"compact-{uuid.uuid4().hex[:12]}"
+        for name, schema, key in (("exact", _EXACT, "node"), ("bands", _BANDS, "key"), ("sites", _SITES, "host")):
+            self._append(stored(self._keyed(name, schema).drop("part"), f"compact-{name}"), name, part, key)
+        for name, schema in (("rows", _ROWS), ("links", _LINK), ("shared", _SHARED)):
+            self._listed(name, schema).write.parquet(f"{self.path}/{name}/{part}")
+        before = self.parts
+        touch(self.spark, f"{self.path}/done/{part}")
+        for old in before:
+            discard(self.spark, f"{self.path}/done/{old}")
+        self.parts = [part]
 
     def known(self) -> DataFrame:
         """``id, batch, known_id``: every record with the smallest id of its shop."""
-        rows = self._read("rows", _ROWS).withColumn("node", F.array_min("nodes"))
-        joined = rows.where(F.size("nodes") > 1).select(F.explode("nodes").alias("a"), F.col("node").alias("b")).where("a <> b")
-        labels = components(joined.unionByName(self._read("links", _LINK)).distinct())
-        return rows.join(labels.withColumnRenamed("id", "node"), "node", "left").select(
+        shared = self.shared().withColumn("many", F.lit(True))
+        rows = self._listed("rows", _ROWS).join(shared, "host", "left").where("kind = 'a' or (kind = 'h' and many is null) or (kind = 'p' and many)")
+        homes = self._keyed("exact", _EXACT).select("node", F.col("known").alias("home"))
+        placed = stored(rows.select("id", "batch", "node").join(homes, "node").groupBy("id", "batch").agg(F.array_sort(F.collect_set("home")).alias("nodes")), "placed")
+        placed = placed.withColumn("node", F.col("nodes")[0])
+        joined = placed.where(F.size("nodes") > 1).select(F.explode("nodes").alias("a"), F.col("node").alias("b")).where("a <> b")
+        labels = components(joined.unionByName(self._listed("links", _LINK)).distinct())
+        return placed.join(labels.withColumnRenamed("id", "node"), "node", "left").select(
             "id", "batch", F.least("id", F.coalesce("label", "node")).alias("known_id"))
 
 
@@ -250,9 +379,10 @@ def components(links: DataFrame) -> DataFrame:
         moved = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         far = labels.select(F.col("id").alias("label"), F.col("label").alias("far"))
         jumped = stored(moved.join(far, "label", "left").select("id", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
-        if jumped.where("label <> old").isEmpty():
-            return jumped.select("id", "label")
+        discard_tables(labels)
         labels = jumped.select("id", "label")
+        if jumped.where("label <> old").isEmpty():
+            return labels
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
@@ -261,15 +391,12 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     Records without account and site belong to no shop and give no row; ids are unique.
     """
     columns = ["lead_id", "username", "instagram_url", "website"]
-    lead = table(spark, root, "lead").select(*columns)
     batches = table(spark, root, "lead_batch").select(*columns, "batch_id")
-    shared = stored(shared_hosts(lead.select("website").unionByName(batches.select("website"))), "shared-hosts")
     index = ShopIndex(spark, stored_path(spark, "shops"))
-    index.add(record_keys(lead, shared), 0, accepted=True)
+    index.add(table(spark, root, "lead").select(*columns), 0, accepted=True)
     # The numbers of the batches: one row for each that is waiting.
     for (number,) in batches.select("batch_id").distinct().orderBy("batch_id").collect():
-        index.add(record_keys(batches.where(F.col("batch_id").eqNullSafe(F.lit(number))), shared), (number if number is not None else 0) + 1)
-    index.close()
+        index.add(batches.where(F.col("batch_id").eqNullSafe(F.lit(number))), (number if number is not None else 0) + 1)
     return index.known().where("batch > 0 and known_id < id").select("known_id", F.col("id").alias("new_id"))
 
 

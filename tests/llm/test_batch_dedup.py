@@ -2,6 +2,7 @@ import random
 
 from leadflow.llm import batch_dedup as b
 from leadflow.plans.durable import stored_path
+from pyspark.sql import functions as F
 
 KIND = "lead_id long, username string, instagram_url string, website string, batch_id int, known_id string"
 
@@ -9,11 +10,10 @@ KIND = "lead_id long, username string, instagram_url string, website string, bat
 def run(spark, history, batches):
     rows = lambda rs: spark.createDataFrame([(*r, "clash") for r in rs], KIND)
     lead, new = rows(history), rows(batches)
-    shared = b.shared_hosts(lead.select("website").unionByName(new.select("website")))
-    index = b.ShopIndex(spark, stored_path(spark, "test-shops"))
-    index.add(b.record_keys(lead, shared), 0, accepted=True)
+    index = b.ShopIndex(spark, stored_path(spark, "test-shops"), 4)
+    index.add(lead, 0, accepted=True)
     for number in sorted({r[4] for r in batches}):
-        index.add(b.record_keys(new.where(f"batch_id = {number}"), shared), number + 1)
+        index.add(new.where(f"batch_id = {number}"), number + 1)
     return {r.id: r.known_id for r in index.known().where("batch > 0 and known_id < id").collect()}
 
 
@@ -30,6 +30,57 @@ def test_batches_against_history(spark):
     assert run(spark, history, batches) == {101: 1, 102: 1, 104: 2, 105: 3, 109: 106, 110: 106}
 
 
+def test_an_index_is_closed_and_opened_again(spark):
+    path = stored_path(spark, "test-kept")
+    rows = lambda rs: spark.createDataFrame([(*r, "clash") for r in rs], KIND)
+    b.ShopIndex(spark, path, 8).add(rows([(1, "foo.barbaz", None, None, 0), *SHARED]), 0, accepted=True)
+    other = spark.newSession()
+    b.ShopIndex(other, path).add(rows([(101, "foobabraz", None, None, 1), (102, None, None, "https://fresh.example", 1)]), 1)
+    # A run that broke off: its rows are there, but its part is not done.
+    broken = b.ShopIndex(spark, path)
+    broken._append(spark.createDataFrame([("h:fresh.example", 7)], "node string, known long"), "exact", "broken", "node")
+    last = b.ShopIndex(spark, path)
+    assert last.buckets == 8
+    last.add(rows([(103, None, None, "fresh.example/about", 2)]), 2)
+    want = {101: 1, 103: 102}
+    assert {r.id: r.known_id for r in last.known().where("known_id < id").collect()} == want
+    last.compact()
+    again = b.ShopIndex(spark, path)
+    again.add(rows([(104, "foo-barbaz", None, None, 3)]), 3)
+    assert {r.id: r.known_id for r in again.known().where("known_id < id").collect()} == {**want, 104: 1}
+
+
+def test_a_batch_reads_the_partitions_of_its_own_keys(spark):
+    """The rows that a small batch reads do not grow with the history, as long as there are partitions enough."""
+    read = {}
+    for size in (2_000, 8_000):
+        path = stored_path(spark, "test-probe")
+        index = b.ShopIndex(spark, path, size // 10)
+        history = spark.range(size).select(F.col("id").alias("lead_id"), F.concat(F.lit("shop"), F.translate(F.conv("id", 10, 26), "0123456789", "qrstuvwxyz"), F.lit("x")).alias("username"), F.lit(None).cast("string").alias("instagram_url"), F.lit(None).cast("string").alias("website"))
+        index.add(history, 0, accepted=True)
+        keys = spark.createDataFrame([(f"a:shop{k}",) for k in range(5)], "node string")
+        buckets = [r[0] for r in keys.select(index._bucket("node")).distinct().collect()]
+        kept = index._keyed("exact", b._EXACT, buckets)
+        assert len(kept.inputFiles()) == len(buckets)
+        read[size] = kept.count()
+    assert read[8_000] < 2 * read[2_000] and read[8_000] < 400
+
+
+def test_a_host_that_turns_out_to_be_shared(spark):
+    batches = [
+        (10, None, None, "https://many.example/firstshop", 1), (11, "secondshop", None, "https://many.example/secondshop", 2), (12, "thirdplace", None, "https://many.example/thirdplace", 3),
+        (13, "firstshop", None, None, 4), (14, None, None, "many.example/secondshop?x=1", 5),
+        # Two pages of one shop, as many as there are shops on the host above.
+        (20, "ownerofsite", None, "https://single.example/home", 1), (21, None, None, "https://single.example/about", 2), (22, None, None, "https://single.example", 3),
+    ]
+    assert run(spark, [], batches) == {13: 10, 14: 11, 21: 20, 22: 20}
+
+
+def test_slips_of_short_accounts(spark):
+    history = [(1, "bidak", None, None, 0), (2, "zofezilerita", None, None, 0), (3, "abc", None, None, 0)]
+    assert run(spark, history, [(11, "bidka", None, None, 1), (12, "zofezilexrita", None, None, 1), (13, "bida", None, None, 2), (14, "abd", None, None, 2), (15, "bidak1", None, None, 2)]) == {11: 1, 12: 2, 13: 1}
+
+
 def test_later_records_join_earlier_ones(spark):
     batches = [(10, "alphashop", None, None, 1), (11, None, None, "https://alpha.example", 2), (12, "alphashop", None, "https://alpha.example", 3), (13, None, None, "https://alpha.example/x", 4)]
     assert run(spark, [], batches) == {11: 10, 12: 10, 13: 10}
@@ -69,6 +120,21 @@ def test_recall_of_the_bands():
     assert sum(met) / len(met) >= 0.99
 
 
+def test_recall_from_end_to_end(spark):
+    rng = random.Random(9)
+    syllables = [c + v for c in "bcdfgjklmnprstz" for v in "aeio"]
+    accounts = list({"".join(rng.choice(syllables) for _ in range(rng.choice((3, 5, 6, 7, 8)))): None for _ in range(500)})
+
+    def slip(text):
+        i, kind = rng.randrange(1, len(text) - 2), rng.randrange(4)
+        return (text[:i] + text[i + 1] + text[i] + text[i + 2 :], text[:i] + text[i + 1 :], text[:i] + "q" + text[i:], text[:i] + "q" + text[i + 1 :])[kind]
+
+    slipped = [slip(a) for a in accounts]
+    found = run(spark, [(i, a, None, None, 0) for i, a in enumerate(accounts)], [(1000 + i, a, None, None, 1) for i, a in enumerate(slipped)])
+    asked = [i for i, (a, s) in enumerate(zip(accounts, slipped, strict=True)) if a != s and s not in accounts]
+    assert sum(1000 + i in found for i in asked) >= 0.99 * len(asked)
+
+
 def test_long_accounts_and_repeated_rows(spark):
     rng = random.Random(1)
     long = "".join(rng.choice("abcdefgh") for _ in range(3000))
