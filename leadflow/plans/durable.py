@@ -71,6 +71,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """Make an empty file: a mark that something is done, without a job."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).create(jvm_path, True).close()
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in files.listStatus(jvm_path)) if files.exists(jvm_path) else []
+
+
 def partitions_of(spark: SparkSession) -> int:
     """The session's shuffle width, which the deployment sizes to its data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
