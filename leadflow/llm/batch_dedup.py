@@ -24,7 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.durable import discard, discard_tables, names_in, stored, stored_path, touch
@@ -39,9 +39,9 @@ BANDS, ROWS = 48, 2
 SPAN, FAR_SPAN = 5, 40
 #: Accounts of up to this many letters are met by their deletion neighbourhood.
 SHORT = 12
-#: Partitions of a new index by hash of the key. A deployment gives each some hundred MB; a batch with
-#: fewer keys than partitions reads some of them only.
-BUCKETS = 16
+#: Partitions of a new index by hash of the key. A deployment gives each some hundred MB. From
+#: ``PRUNED_FROM`` partitions on a batch first finds out which ones its keys fall into.
+BUCKETS, PRUNED_FROM = 8, 64
 #: Keys of a batch (8 bytes each, or a short text) that travel to the index as a broadcast; beyond it
 #: both sides are shuffled.
 SENT_KEYS = 1_000_000
@@ -80,15 +80,15 @@ def record_fields(records: DataFrame, row_id: str = "lead_id") -> DataFrame:
     ).where("id is not null")
 
 
-_SITE = "host string, path string, id long, n long, own boolean, batch int"
+_SITE = "host string, path string, id long, n long, own boolean"
 
 
-def sites_of(fields: DataFrame, batch: int = 0) -> DataFrame:
-    """``host, path, id, n, own, batch``: how many records name a path of a host, the first of them, and
+def sites_of(fields: DataFrame) -> DataFrame:
+    """``host, path, id, n, own``: how many records name a path of a host, the first of them, and
     whether it is the account of one."""
     own = (F.col("account") == F.col("a1")) | (F.col("account") == F.col("a2"))
     return fields.where("host <> '' and path <> ''").withColumn("account", compact(F.col("path"))).groupBy("host", "path").agg(
-        F.min("id").alias("id"), F.count("*").alias("n"), F.max(own).alias("own")).withColumn("batch", F.lit(batch))
+        F.min("id").alias("id"), F.count("*").alias("n"), F.max(own).alias("own"))
 
 
 def shared_among(sites: DataFrame) -> DataFrame:
@@ -212,11 +212,32 @@ def _verify(batches):
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
+def _node() -> Column:
+    return F.concat_ws(":", "kind", "text")
+
+
+def account_nodes(fields: DataFrame, shared: DataFrame) -> DataFrame:
+    """``fields, kind, text``: the nodes of each record: accounts, and its host unless that is shared.
+
+    On a shared host the path is an account. Blank fields give none.
+    """
+    # The hosts shared by many shops are few, but their number is not bounded: Spark picks the join by size.
+    known = fields.join(shared.withColumn("many", F.lit(True)), "host", "left")
+    node = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    nodes = F.array(
+        node("a", F.col("a1")), node("a", F.col("a2")), node("a", F.when(F.col("many"), compact(F.col("path"))).otherwise("")),
+        node("h", F.when(F.col("many").isNull(), F.col("host")).otherwise("")))
+    return known.withColumn("n", F.explode(F.array_distinct(nodes))).select(*fields.columns, "n.kind", "n.text").where("text <> ''")
+
+
 _EXACT = "node string, known long, part string"
 _BAND = "key long, id long, text string, sketch long"
 _BANDS = f"{_BAND}, part string"
 _LINK = "a long, b long"
-_ROWS = "id long, batch int, host string, kind string, text string, node string"
+# Names of no part. Long lists are looked up in a set, and then Spark's generated code does not change
+# with the list, so that it is compiled once and not for every batch; texts as values of columns likewise.
+_NO_PARTS = [f"none-{i}" for i in range(20)]
+_ROWS = "id long, a1 string, a2 string, host string, path string, batch string"
 _SITES = f"{_SITE}, part string"
 _SHARED = "host string"
 
@@ -252,7 +273,7 @@ class ShopIndex:
         parts = [*self.parts, *([also] if also else [])]
         if not wanted or not parts:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{name}/{n}" for n in wanted]).where(F.col("part").isin(parts))
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{name}/{n}" for n in wanted]).where(F.col("part").isin([*parts, *_NO_PARTS]))
 
     def _listed(self, name: str, schema: str, also: str | None = None) -> DataFrame:
         """The rows of a folder of parts."""
@@ -260,13 +281,14 @@ class ShopIndex:
         folders = [f"{self.path}/{name}/{p}" for p in dict.fromkeys([*self.parts, *([also] if also else [])]) if p in held]
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
-    def _probe(self, name: str, schema: str, keys: DataFrame, key: str, also: str | None = None) -> DataFrame:
-        """The rows of the index that hold one of the keys, read from the buckets of these keys only."""
-        # One row for each bucket comes to the driver.
-        touched = {r.bucket: r.n for r in keys.groupBy(self._bucket(key).alias("bucket")).agg(F.count("*").alias("n")).collect()}
-        kept = self._keyed(name, schema, list(touched), also).drop("part")
+    def _probe(self, name: str, schema: str, keys: DataFrame, key: str, n: int, also: str | None = None) -> DataFrame:
+        """The rows of the index that hold one of the ``n`` keys, read from the buckets of these keys only."""
+        buckets = None
+        if self.buckets >= PRUNED_FROM:
+            # At most one row for each bucket comes to the driver.
+            buckets = [r.bucket for r in keys.select(self._bucket(key).alias("bucket")).distinct().collect()]
         asked = keys.select(key).distinct()
-        return kept.join(F.broadcast(asked) if sum(touched.values()) <= SENT_KEYS else asked, key, "left_semi")
+        return self._keyed(name, schema, buckets, also).drop("part").join(F.broadcast(asked) if n <= SENT_KEYS else asked, key, "left_semi")
 
     def shared(self, also: str | None = None) -> DataFrame:
         return self._listed("shared", _SHARED, also).distinct()
@@ -279,58 +301,50 @@ class ShopIndex:
         indexed and joined by equal keys, but not searched for slips among themselves.
         """
         part = f"{batch}-{uuid.uuid4().hex[:12]}"
-        fields = stored(record_fields(records, row_id), "batch-fields")
-        with ThreadPoolExecutor(4) as jobs:
-            waiting = []
-            earlier = self._sites(fields, batch, part, lambda job: waiting.append(jobs.submit(job)))
-            many = self.shared(part).withColumn("many", F.lit(True))
-            # The hosts shared by many shops are few, but their number is not bounded: Spark picks the join by size.
-            known = fields.join(many, "host", "left")
-            site, node = (F.col("host") != "") & F.col("many").isNull(), lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
-            nodes = F.array(
-                node("a", F.col("a1")), node("a", F.col("a2")), node("a", F.when(F.col("many"), compact(F.col("path"))).otherwise("")), node("h", F.when(site, F.col("host")).otherwise("")),
-                # Counts only if the host turns out to be shared later.
-                node("p", F.when(site & (F.col("path") != ""), F.concat_ws("/", "host", "path")).otherwise("")))
-            keys = known.select("id", F.lit(batch).alias("batch"), "host", F.explode(F.array_distinct(nodes)).alias("n")).select("id", "batch", "host", "n.kind", "n.text").where("text <> ''")
-            keys = keys.unionByName(earlier) if earlier is not None else keys
-            keys.withColumn("node", F.concat_ws(":", "kind", "text")).write.parquet(f"{self.path}/rows/{part}")
-            keys = self.spark.read.schema(_ROWS).parquet(f"{self.path}/rows/{part}")
-            met = self._probe("exact", _EXACT, keys.select("node"), "node")
-            new = keys.groupBy("node", "kind", "text").agg(F.min("id").alias("known")).join(met.select("node"), "node", "left_anti")
-            fresh = stored(new, "batch-fresh")
-            waiting.append(jobs.submit(lambda: self._append(fresh.select("node", "known"), "exact", part, "node")))
-            letters = F.length(F.regexp_replace("text", "\\p{N}", ""))
-            accounts = fresh.where((F.col("kind") == "a") & (letters >= LEAST_LETTERS)).select(F.col("known").alias("id"), "text")
+        size = Observation()
+        fields = record_fields(records, row_id).withColumn("batch", F.lit(str(batch)))
+        fields.observe(size, F.count("*").alias("n")).write.parquet(f"{self.path}/rows/{part}")
+        fields, n = self.spark.read.schema(_ROWS).parquet(f"{self.path}/rows/{part}"), size.get["n"]
+        with ThreadPoolExecutor(1) as aside:
+            earlier, sites = self._sites(fields, part, n, aside)
+            keys = account_nodes(fields, self.shared(part)).select("id", "kind", "text")
+            keys = keys if earlier is None else keys.unionByName(earlier)
+            # A record has four keys at most.
+            nodes = keys.groupBy(_node().alias("node")).agg(F.min("id").alias("known"))
+            met = self._probe("exact", _EXACT, keys.select(_node().alias("node")), "node", 4 * n)
+            self._append(nodes.join(met.select("node"), "node", "left_anti"), "exact", part, "node")
+            fresh = self._keyed("exact", _EXACT, also=part).where(F.col("part") == part)
+            text = F.substring("node", 3, 1 << 30)
+            accounts = fresh.where(F.col("node").startswith("a:")).select(F.col("known").alias("id"), text.alias("text"))
+            accounts = accounts.where(F.length(F.regexp_replace("text", "\\p{N}", "")) >= LEAST_LETTERS)
             self._append(accounts.mapInArrow(_bands, _BAND), "bands", part, "key")
             if not accepted:
-                self._slips(part).write.parquet(f"{self.path}/links/{part}")
-            for job in waiting:
-                job.result()
+                self._slips(part, 3 * n * BANDS).write.parquet(f"{self.path}/links/{part}")
+            sites.result()
         touch(self.spark, f"{self.path}/done/{part}")
         self.parts.append(part)
-        discard_tables(fields)
-        discard_tables(fresh)
 
-    def _sites(self, fields: DataFrame, batch: int, part: str, later) -> DataFrame | None:
+    def _sites(self, fields: DataFrame, part: str, n: int, aside: ThreadPoolExecutor):
         """Learn which hosts are shared, from this batch and what came before.
 
-        Gives the keys of earlier records that named a path of a host now found to be shared: as the
-        host did not look shared then, their paths were not taken for accounts.
+        Gives the keys of earlier records that named a path of a host now found to be shared (as the
+        host did not look shared then, their paths were not taken for accounts), and the job that
+        appends the sites of this batch.
         """
-        new = sites_of(fields, batch).join(self.shared(), "host", "left_anti")
-        before = self._probe("sites", _SITES, fields.where("path <> ''").select("host"), "host")
-        later(lambda: self._append(new, "sites", part, "host"))
-        seen = before.unionByName(new)
-        shared_among(seen).write.parquet(f"{self.path}/shared/{part}")
-        found = self.spark.read.schema(_SHARED).parquet(f"{self.path}/shared/{part}")
-        if found.isEmpty():
-            return None
-        return before.join(found, "host").select("id", "batch", "host", F.lit("a").alias("kind"), compact(F.col("path")).alias("text")).where("text <> ''")
-
-    def _slips(self, part: str) -> DataFrame:
+        new = sites_of(fields).join(self.shared(), "host", "left_anti")
+        before = self._probe("sites", _SITES, fields.where("path <> ''").select("host"), "host", n)
+        count = Observation()
+        shared_among(before.unionByName(new)).observe(count, F.count("*").alias("n")).write.parquet(f"{self.path}/shared/{part}")
+        job = aside.submit(lambda: self._append(new, "sites", part, "host"))
+        if not count.get["n"]:
+            return None, job
+        found = self._listed("shared", _SHARED, part)
+        return before.join(found, "host", "left_semi").select("id", F.lit("a").alias("kind"), compact(F.col("path")).alias("text")).where("text <> ''"), job
+
+    def _slips(self, part: str, n: int) -> DataFrame:
         """Links of a batch's new accounts to those one slip away, of history or of the batch."""
         own = self._keyed("bands", _BANDS, also=part).where(F.col("part") == part).drop("part")
-        met = self._probe("bands", _BANDS, own.select("key"), "key", part)
+        met = self._probe("bands", _BANDS, own.select("key"), "key", n, part)
         met = met.select("key", F.col("id").alias("other_id"), F.col("text").alias("other"), F.col("sketch").alias("other_sketch"))
         pairs = met.join(own, "key").where(
             (F.col("text") != F.col("other")) & (F.col("id") != F.col("other_id")) & (F.abs(F.length("text") - F.length("other")) <= 1)
@@ -354,16 +368,20 @@ class ShopIndex:
         self.parts = [part]
 
     def known(self) -> DataFrame:
-        """``id, batch, known_id``: every record with the smallest id of its shop."""
-        shared = self.shared().withColumn("many", F.lit(True))
-        rows = self._listed("rows", _ROWS).join(shared, "host", "left").where("kind = 'a' or (kind = 'h' and many is null) or (kind = 'p' and many)")
-        homes = self._keyed("exact", _EXACT).select("node", F.col("known").alias("home"))
-        placed = stored(rows.select("id", "batch", "node").join(homes, "node").groupBy("id", "batch").agg(F.array_sort(F.collect_set("home")).alias("nodes")), "placed")
+        """``id, batch, known_id``: every record with the smallest id of its shop.
+
+        What a host is, one shop's or shared by many, is known best now; the nodes are those of now.
+        """
+        keys = account_nodes(self._listed("rows", _ROWS), self.shared()).select("id", "batch", _node().alias("node"))
+        homes = keys.groupBy("node").agg(F.min("id").alias("home"))
+        placed = stored(keys.join(homes, "node").groupBy("id", "batch").agg(F.array_sort(F.collect_set("home")).alias("nodes")), "placed")
         placed = placed.withColumn("node", F.col("nodes")[0])
         joined = placed.where(F.size("nodes") > 1).select(F.explode("nodes").alias("a"), F.col("node").alias("b")).where("a <> b")
-        labels = components(joined.unionByName(self._listed("links", _LINK)).distinct())
+        # The ends of a link are records; each stands for the shop of its smallest node.
+        ends = joined.unionByName(self._listed("links", _LINK)).unionByName(placed.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b")))
+        labels = components(ends.distinct())
         return placed.join(labels.withColumnRenamed("id", "node"), "node", "left").select(
-            "id", "batch", F.least("id", F.coalesce("label", "node")).alias("known_id"))
+            "id", F.col("batch").cast("int").alias("batch"), F.least("id", F.coalesce("label", "node")).alias("known_id"))
 
 
 def components(links: DataFrame) -> DataFrame:
