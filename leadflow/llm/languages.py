@@ -1,14 +1,20 @@
 """Languages of documents and of the segments of mixed documents (problem 8).
 
 Method: a bidirectional gated recurrent network over bytes, trained in numpy by backpropagation
-through time on a bounded sample of labelled documents, labels every position (``STRIDE`` bytes);
-position probabilities are pooled by sentence and document. Labels of the sample may be wrong:
-after a first fit, sentences whose label the network clearly contradicts are left out and the
-network is fitted further. The weights (under 1 MB) go to the tasks; texts never leave theirs.
+through time on a bounded sample of labelled documents, labels every byte; the probabilities are
+pooled by sentence and document. A recurrent step reads ``STRIDE`` bytes and labels each of them.
+Labels of the sample may be wrong: after a first fit, sentences whose label the network clearly
+contradicts are left out and the network is fitted further. The weights (under 1 MB) are kept beside
+the cut points, by a hash of the sample, and go to the tasks; texts never leave theirs.
+
+Case and the letters that keyboards interchange (Persian typed with Arabic letters, and the reverse)
+are folded before a text is read, in training as well, so that they cannot tell languages apart.
 """
 
 from __future__ import annotations
 
+import hashlib
+import io
 import re
 
 import numpy as np
@@ -16,13 +22,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.durable import names_in, shared_folder
 from ..sources.tables import table
+from .lookalikes import TO_PERSIAN
 
-#: Bounds of the training sample: documents of each label, and sentences taken from each document.
-SAMPLE_DOCUMENTS = 700
+#: Bounds of the training sample: documents of each label, sentences taken from each document, and letters
+#: of a sentence that is taken. They bound the training alone; every text is labelled whole.
+SAMPLE_DOCUMENTS = 2000
 SAMPLE_SENTENCES = 4
+SAMPLE_LETTERS = 600
 #: Network size, bytes read at a step, positions in a batch of sentences.
 HIDDEN, STRIDE, BATCH_POSITIONS = 32, 4, 60_000
+#: Updates of the first fit and of the second, whatever the size of the sample.
+UPDATES = (330, 500)
+#: Share of the bytes of a sentence that count as independent evidence, since neighbours say the same.
+INDEPENDENT = 0.075
 #: Log-odds that a change of language within a text must overcome.
 SWITCH = 6.0
 #: Words that a sentence needs to count by itself; shorter ones may be names. A text that has no such
@@ -48,6 +62,7 @@ _SENTENCE = re.compile(r"(?<=[.!?؟…。])[\s]+|\n+")
 # of a language.
 _NO_WORD = re.compile(r"<[^<>\s]*>|https?://\S+|www\.\S+|[#@]\S+|\S*[\w-]+\.\w{2,}(?:/\S*)?(?=[\s,;:،)]|$)|\S*[\d_]\S*")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_FOLD = str.maketrans({c: v for c, v in TO_PERSIAN.items() if not v.isdigit()})
 
 
 def meant_language(label: str | None) -> str | None:
@@ -66,17 +81,21 @@ def words_of(sentence: str, least: int = LEAST_WORDS) -> str:
     """The sentence without addresses, tags, handles and numbers; '' if under ``least`` words are left."""
     kept = _NO_WORD.sub(" ", sentence)
     found = [w for w in _LETTERS.findall(kept) if len(w) > 1]
-    return " ".join(kept.split()) if len(found) >= least else ""
+    return " ".join(kept.lower().translate(_FOLD).split()) if len(found) >= least else ""
 
 
-def _as_steps(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes as [step, text, STRIDE], and steps of each text."""
+def _as_steps(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes as [step, text, STRIDE], which steps a text has, and which bytes, both 0 or 1."""
     raw = [t.encode("utf-8", "replace") for t in texts]
-    steps = np.array([max(1, -(-len(r) // STRIDE)) for r in raw])
-    grid = np.zeros((len(raw), int(steps.max()) * STRIDE), np.uint8)
+    size = np.array([len(r) for r in raw])
+    length = max(1, -(-int(size.max()) // STRIDE))
+    grid = np.zeros((len(raw), length * STRIDE), np.uint8)
     for i, r in enumerate(raw):
         grid[i, : len(r)] = np.frombuffer(r, np.uint8)
-    return grid.reshape(len(raw), -1, STRIDE).transpose(1, 0, 2).astype(np.intp), steps
+    held = (np.arange(length * STRIDE)[None, :] < size[:, None]).astype(np.float32)
+    shaped = lambda x: x.reshape(len(raw), -1, STRIDE).transpose(1, 0, 2)
+    held = shaped(held)
+    return shaped(grid).astype(np.intp), held.max(2), held
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -84,7 +103,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class ByteNetwork:
-    """Two gated recurrent layers, one in each direction, and a softmax at every position."""
+    """Two gated recurrent layers, one in each direction, and a softmax for every byte."""
 
     def __init__(self, classes: int = len(LANGUAGES), hidden: int = HIDDEN, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
@@ -96,14 +115,14 @@ class ByteNetwork:
             self.p[f"u{d}"] = make(h, 2 * h, scale=h**-0.5)
             self.p[f"c{d}"] = make(h, h, scale=h**-0.5)
             self.p[f"b{d}"] = np.zeros(3 * h, np.float32)
-        self.p["w"] = make(2 * h, classes, scale=(2 * h) ** -0.5)
-        self.p["o"] = np.zeros(classes, np.float32)
+        self.p["w"] = make(2 * h, STRIDE * classes, scale=(2 * h) ** -0.5)
+        self.p["o"] = np.zeros(STRIDE * classes, np.float32)
 
     def _direction(self, d: str, steps: np.ndarray, mask: np.ndarray, keep: bool):
         h, (length, count, _) = self.hidden, steps.shape
         x, u, c, b = (self.p[k + d] for k in "xucb")
-        state = np.zeros((count, h), np.float32)
-        out = np.empty((length, count, h), np.float32)
+        state = np.zeros((count, h), u.dtype)
+        out = np.empty((length, count, h), u.dtype)
         memory = []
         for t in range(length) if d == "f" else range(length - 1, -1, -1):
             s = steps[t]
@@ -121,32 +140,35 @@ class ByteNetwork:
         return out, memory
 
     def forward(self, steps: np.ndarray, mask: np.ndarray, keep: bool = False):
+        """Probabilities as [step, text, STRIDE, class]."""
         f, mf = self._direction("f", steps, mask, keep)
         b, mb = self._direction("b", steps, mask, keep)
         both = np.concatenate([f, b], 2)
-        logits = both @ self.p["w"] + self.p["o"]
-        logits -= logits.max(2, keepdims=True)
-        probs = np.exp(logits)
-        probs /= probs.sum(2, keepdims=True)
+        logits = (both @ self.p["w"] + self.p["o"]).reshape(*steps.shape, -1)
+        logits -= logits.max(3, keepdims=True)
+        probs = np.exp(logits, out=logits)
+        probs /= probs.sum(3, keepdims=True)
         return probs, (both, mf, mb)
 
-    def gradients(self, steps, mask, target, weight) -> tuple[dict, float]:
-        """Backpropagation through time of the weighted cross entropy at every position."""
+    def gradients(self, steps, mask, held, target, weight) -> tuple[dict, float]:
+        """Backpropagation through time of the weighted cross entropy of every byte."""
         h = self.hidden
         probs, (both, mf, mb) = self.forward(steps, mask, True)
-        scale = (mask * weight) / max(1.0, float(mask.sum()))
-        seen = probs[:, np.arange(len(target)), target]
+        scale = held * weight[:, :, None] / max(1.0, float(held.sum()))
+        rows = np.arange(len(target))
+        seen = probs[:, rows, :, target].transpose(1, 0, 2)
         loss = float(-(np.log(seen + 1e-9) * scale).sum())
         d_logits = probs.copy()
-        d_logits[:, np.arange(len(target)), target] -= 1
-        d_logits *= scale[:, :, None]
+        d_logits[:, rows, :, target] -= 1
+        d_logits *= scale[:, :, :, None]
+        d_logits = d_logits.reshape(*d_logits.shape[:2], -1)
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
         flat = d_logits.reshape(-1, d_logits.shape[2])
         g["w"], g["o"] = both.reshape(-1, 2 * h).T @ flat, flat.sum(0)
         d_both = d_logits @ self.p["w"].T
         for d, memory, part in (("f", mf, d_both[:, :, :h]), ("b", mb, d_both[:, :, h:])):
             u, c = self.p["u" + d], self.p["c" + d]
-            flow = np.zeros((steps.shape[1], h), np.float32)
+            flow = np.zeros((steps.shape[1], h), u.dtype)
             shares, places = [], []
             for t, state, z, r, fresh in reversed(memory):
                 flow = flow + part[t]
@@ -171,7 +193,7 @@ class ByteNetwork:
                 g["x" + d][k][byte[first]] = np.add.reduceat(da[order], first, axis=0)
         return g, loss
 
-    def fit(self, texts: list[str], labels: np.ndarray, epochs: int, rate: float = 0.015, batch: int = 128, seed: int = 1) -> None:
+    def fit(self, texts: list[str], labels: np.ndarray, updates: int, rate: float = 0.015, batch: int = 128, seed: int = 1) -> None:
         if not texts:
             return
         rng = np.random.default_rng(seed)
@@ -181,25 +203,24 @@ class ByteNetwork:
         n = 0
         by_length = np.argsort([len(t) for t in texts], kind="stable")
         batches = [by_length[i : i + batch] for i in range(0, len(texts), batch)]
-        total = epochs * len(batches)
-        for _ in range(epochs):
-            for j in rng.permutation(len(batches)):
-                rows = batches[j]
-                steps, size = _as_steps([texts[i] for i in rows])
-                mask = (np.arange(len(steps))[:, None] < size[None, :]).astype(np.float32)
-                g, _ = self.gradients(steps, mask, labels[rows], balance[labels[rows]][None, :])
-                norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-                n += 1
-                now = rate * (1 - 0.9 * n / total)
-                for k, v in g.items():
-                    v = v * min(1.0, 1.0 / (norm + 1e-9))
-                    first, second = moments[k]
-                    first += 0.1 * (v - first)
-                    second += 0.01 * (v * v - second)
-                    self.p[k] -= now * (first / (1 - 0.9**n)) / (np.sqrt(second / (1 - 0.99**n)) + 1e-6)
+        order: list[int] = []
+        while n < updates:
+            order = order or rng.permutation(len(batches)).tolist()
+            rows = batches[order.pop()]
+            steps, mask, held = _as_steps([texts[i] for i in rows])
+            g, _ = self.gradients(steps, mask, held, labels[rows], balance[labels[rows]][None, :])
+            norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+            n += 1
+            now = rate * (1 - 0.9 * n / updates)
+            for k, v in g.items():
+                v = v * min(1.0, 1.0 / (norm + 1e-9))
+                first, second = moments[k]
+                first += 0.1 * (v - first)
+                second += 0.01 * (v * v - second)
+                self.p[k] -= now * (first / (1 - 0.9**n)) / (np.sqrt(second / (1 - 0.99**n)) + 1e-6)
 
     def pooled(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Mean log-probabilities over the positions of each text, and their number."""
+        """Mean log-probabilities over the bytes of each text, and their number."""
         out = np.zeros((len(texts), len(LANGUAGES)), np.float32)
         size = np.zeros(len(texts), np.int64)
         order = np.argsort([len(t.encode("utf-8", "replace")) for t in texts], kind="stable")[::-1]
@@ -208,11 +229,13 @@ class ByteNetwork:
             longest = max(1, len(texts[order[at]].encode("utf-8", "replace")) // STRIDE)
             rows = order[at : at + max(1, BATCH_POSITIONS // longest)]
             at += len(rows)
-            steps, n = _as_steps([texts[i] for i in rows])
-            mask = (np.arange(len(steps))[:, None] < n[None, :]).astype(np.float32)
+            steps, mask, held = _as_steps([texts[i] for i in rows])
             probs, _ = self.forward(steps, mask)
-            logs = np.log(probs + 1e-6) * mask[:, :, None]
-            out[rows] = logs.sum(0) / n[:, None]
+            probs += 1e-6
+            logs = np.log(probs, out=probs)
+            logs *= held[:, :, :, None]
+            n = held.sum((0, 2)).clip(1)
+            out[rows] = logs.sum((0, 2)) / n[:, None]
             size[rows] = n
         return out, size
 
@@ -225,20 +248,33 @@ def train(documents: list[tuple[str, str]], seed: int = 7) -> ByteNetwork:
         code = meant_language(label)
         if code is None:
             continue
-        known = [w for s in sentences(text) if (w := words_of(s)) and len(w) <= 600]
+        known = [w for s in sentences(text) if (w := words_of(s)) and len(w) <= SAMPLE_LETTERS]
         for i in rng.permutation(len(known))[:SAMPLE_SENTENCES]:
             texts.append(known[i])
             labels.append(LANGUAGES.index(code))
     target = np.array(labels, np.intp)
     network = ByteNetwork(seed=seed)
-    network.fit(texts, target, 3, seed=seed)
+    network.fit(texts, target, UPDATES[0], rate=0.012, seed=seed)
     if texts:
         logs, _ = network.pooled(texts)
-        keep = np.flatnonzero(logs[np.arange(len(texts)), target] > logs.max(1) - 0.3)
-        network.fit([texts[i] for i in keep], target[keep], 4, rate=0.0075, seed=seed + 1)
+        keep = np.flatnonzero(logs[np.arange(len(texts)), target] > logs.max(1) - 0.5)
+        network.fit([texts[i] for i in keep], target[keep], UPDATES[1], rate=0.006, seed=seed + 1)
     return network
 
 
+def kept_network(spark: SparkSession, documents: list[tuple[str, str]]) -> dict:
+    """Weights of the network for a sample: read if it was trained before, else trained and kept."""
+    size = (HIDDEN, STRIDE, SAMPLE_SENTENCES, SAMPLE_LETTERS, UPDATES)
+    sample = hashlib.sha256(repr((size, sorted(set(documents)))).encode("utf-8", "surrogatepass")).hexdigest()[:32]
+    path = f"{shared_folder(spark)}/language-network-{sample}"
+    if "_SUCCESS" not in names_in(spark, path):
+        held = io.BytesIO()
+        np.savez(held, **train(documents).p)
+        spark.createDataFrame([(held.getvalue(),)], "weights binary").coalesce(1).write.mode("overwrite").parquet(path)
+    with np.load(io.BytesIO(spark.read.schema("weights binary").parquet(path).first()[0])) as found:
+        return {k: found[k] for k in found.files}
+
+
 def segments(network: ByteNetwork, texts: list[str], cache: dict | None = None) -> list[list[tuple[int, str, float]]]:
     """For each text its runs of whole sentences in one language: (sentences, code, confidence).
 
@@ -261,8 +297,7 @@ def segments(network: ByteNetwork, texts: list[str], cache: dict | None = None)
         if not known:
             out.append([])
             continue
-        # Positions of a sentence are not independent; a sentence counts as at most 8 of them.
-        score = np.array([m * min(n, 8) for m, n in known])
+        score = np.array([m * (n * INDEPENDENT) for m, n in known])
         best, back = score[0].copy(), []
         for line in score[1:]:
             stay, move = best, best.max() - SWITCH
@@ -300,7 +335,7 @@ def label_languages(df: DataFrame, id_col: str, text_col: str, lang_col: str, sa
     # Spark keeps only the first rows of each label before the shuffle (window group limit).
     rank = F.row_number().over(Window.partitionBy("l").orderBy("h"))
     drawn = hashed.withColumn("k", rank).where(F.col("k") <= sample).select("t", "l").collect()
-    weights = train([(r.t, r.l) for r in drawn]).p if drawn else None
+    weights = kept_network(df.sparkSession, [(r.t, r.l) for r in drawn]) if drawn else None
 
     def run(batches):
         network, cache = ByteNetwork(), {}

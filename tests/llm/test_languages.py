@@ -19,19 +19,20 @@ def test_meanings_in_a_column(spark):
 def test_gradients_equal_differences():
     net = g.ByteNetwork(hidden=4)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    steps, size = g._as_steps(["hello there", "سلام"])
-    mask = (np.arange(len(steps))[:, None] < size[None, :]).astype(float)
+    steps, mask, held = g._as_steps(["hello there", "سلام"])
+    assert held.sum((0, 2)).tolist() == [11, 8] and mask.sum(0).tolist() == [3, 2]
+    mask, held = mask.astype(float), held.astype(float)
     target, weight = np.array([1, 0]), np.ones((1, 2))
-    grads, _ = net.gradients(steps, mask, target, weight)
+    grads, _ = net.gradients(steps, mask, held, target, weight)
     rng = np.random.default_rng(0)
     for name, grad in grads.items():
         places = [np.unravel_index(np.abs(grad).argmax(), grad.shape)] + [tuple(rng.integers(0, n) for n in grad.shape) for _ in range(3)]
         for at in places:
             was, step = net.p[name][at], 1e-4
             net.p[name][at] = was + step
-            up = net.gradients(steps, mask, target, weight)[1]
+            up = net.gradients(steps, mask, held, target, weight)[1]
             net.p[name][at] = was - step
-            down = net.gradients(steps, mask, target, weight)[1]
+            down = net.gradients(steps, mask, held, target, weight)[1]
             net.p[name][at] = was
             # The loss adds 1e-9 inside its logarithm.
             assert abs(grad[at] - (up - down) / (2 * step)) < 1e-5 + 1e-3 * abs(grad[at])
@@ -61,6 +62,28 @@ def test_whole_and_mixed_texts(net):
     assert codes(net, mixed) == ["en", "fa", "ru"]
 
 
+def test_persian_typed_with_arabic_letters_and_capitals(net):
+    for row in (SENTENCES["fa"], SENTENCES["en"], SENTENCES["ru"]):
+        text = ". ".join(row) + "."
+        other = text.replace("ی", "ي").replace("ک", "ك").upper()
+        assert g.segments(net, [other])[0] == g.segments(net, [text])[0]
+
+
+def test_every_byte_has_a_label(net):
+    steps, mask, held = g._as_steps(["این صفحه", "abc"])
+    probs, _ = net.forward(steps, mask)
+    assert probs.shape == (*held.shape, len(g.LANGUAGES)) and np.allclose(probs.sum(3), 1, atol=1e-5)
+
+
+def test_a_kept_network_is_not_trained_again(spark, monkeypatch):
+    sample = [(f"{s}.", code) for code, row in SENTENCES.items() for s in row]
+    monkeypatch.setattr(g, "UPDATES", (3, 3))
+    first = g.kept_network(spark, sample)
+    monkeypatch.setattr(g, "train", None)
+    again = g.kept_network(spark, sample[::-1])
+    assert all((first[k] == again[k]).all() for k in first)
+
+
 def test_no_words_no_language(net):
     for text in ("", " ", "⭐⭐⭐", "0900 123", "???", "@foo.bar https://x.example", "<|endoftext|>"):
         assert codes(net, text) == []
