@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import PROFILE_HOST, business_key, host_of, norm_handle
+from ..plans.durable import discard_tables, stored
 
 
 def first_per_key(df: DataFrame, key: list[Column | str], order: list[Column | str], keep_null: bool = False) -> DataFrame:
@@ -59,6 +60,38 @@ def also_in(df: DataFrame, archive: DataFrame, profile_host: str = PROFILE_HOST)
     return rows.where(" or ".join(f"in_{k}" for k in KEYS)).select(*df.columns)
 
 
+def first_of_each_shop(df: DataFrame, order: list[str], scope: list[str] | None = None, profile_host: str = PROFILE_HOST) -> DataFrame:
+    """The rows that stay if they are taken in ``order`` and one that is the same shop as a row taken before is left out.
+
+    A row that was left out leaves nobody out itself, so a first row for each key is not enough. In
+    rounds: a row that comes first for every key it has is taken, and rows that share a key with it
+    are left out; then the rest is looked at again. Each round decides at least the first row of every
+    connected set; rounds are as many as the longest chain of decisions that hang on each other. The
+    columns of ``order`` and ``scope`` tell the rows apart; rows without a key stay. Nothing is gathered by
+    key: a hot key is one minimum, combined before the shuffle.
+    """
+    scope = scope or []
+    place = [*scope, *order]
+    # Read several times below.
+    df = stored(df, "shops")
+    rows = shop_keys(df, profile_host)
+    key = F.explode(F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}:"), F.col(k))) for k in KEYS]))).alias("key")
+    open_keys = stored(rows.select(*scope, F.struct(*order).alias("at"), key), "open-keys")
+    taken = None
+    while not open_keys.isEmpty():
+        first = open_keys.groupBy(*scope, "key").agg(F.min("at").alias("first"))
+        wins = stored(open_keys.join(first, [*scope, "key"]).groupBy(*scope, "at").agg(F.min(F.col("at") == F.col("first")).alias("wins")).where("wins").select(*scope, "at"), "taken")
+        taken = wins if taken is None else taken.unionByName(wins)
+        held = open_keys.join(wins, [*scope, "at"]).select(*scope, "key").distinct()
+        out = open_keys.join(held, [*scope, "key"], "left_semi").select(*scope, "at").distinct()
+        before, open_keys = open_keys, stored(open_keys.join(out, [*scope, "at"], "left_anti"), "open-keys")
+        discard_tables(before)
+    keyless = rows.where(" and ".join(f"{k} is null" for k in KEYS)).select(*df.columns)
+    if taken is None:
+        return keyless
+    return df.join(taken.select(*scope, "at.*"), place, "left_semi").unionByName(keyless)
+
+
 def same_shop_links(a: DataFrame, b: DataFrame, a_id: str, b_id: str, profile_host: str = PROFILE_HOST) -> DataFrame:
     """``a_id, b_id, shared``: for each row of ``a`` and each key the smallest row of ``b`` that has it.
 

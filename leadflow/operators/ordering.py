@@ -9,6 +9,10 @@ from ..functions import lexicon as lx
 from ..plans.durable import stored
 
 
+#: The largest limit that a valid request can have.
+MOST_ROWS = 50
+
+
 def lead_order(tie: str = "lead_id") -> list[Column]:
     """The eleven descending keys of a lead, nulls as 0, then the order of discovery."""
     rank = F.coalesce(*[F.when(F.col("iran_verification_status") == s, F.lit(n)) for s, n in lx.STATUS_RANK], F.lit(0))
@@ -34,14 +38,15 @@ def positions(df: DataFrame, order: list[Column], name: str = "position") -> Dat
     return ordered.join(F.broadcast(before), "__part").withColumn(name, row + F.col("__before") + 1).drop("__part", "__row", "__before")
 
 
-def first_n(df: DataFrame, scope: list[str], order: list[Column | str], limit: Column | str) -> DataFrame:
+def first_n(df: DataFrame, scope: list[str], order: list[Column | str], limit: Column | str, most: int = MOST_ROWS) -> DataFrame:
     """The first rows of each scope in order, as many as its limit column says.
 
     This is the early stop of a sequential loop: rows past the limit are never looked at, so a later
-    sort ranks the first rows found and not the best of all.
+    sort ranks the first rows found and not the best of all. No limit exceeds ``most``, which is a literal
+    so that Spark prunes to as many rows of each scope before the shuffle.
     """
-    most = F.col(limit) if isinstance(limit, str) else limit
-    return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*scope).orderBy(*order))).where(F.col("__rn") <= most).drop("__rn")
+    asked = F.col(limit) if isinstance(limit, str) else limit
+    return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*scope).orderBy(*order))).where((F.col("__rn") <= F.lit(most)) & (F.col("__rn") <= asked)).drop("__rn")
 
 
 def weighted_score(struct: str, weights: tuple[tuple[str, float], ...] = lx.SCORE_WEIGHTS) -> Column:

@@ -79,10 +79,11 @@ def further_queries(requests: DataFrame, pattern: str = "pattern") -> DataFrame:
     return requests.select("request_id", F.col(pattern).alias("pattern"), F.posexplode(F.array_distinct(kept)).alias("pos", "query"))
 
 
-def shortfalls(candidates: DataFrame, blobs: DataFrame, scope: str = "request_id") -> DataFrame:
+def shortfalls(candidates: DataFrame, blobs: DataFrame, scope: str = "request_id", requests: DataFrame | None = None) -> DataFrame:
     """``scope, patterns``: in which ways the candidates of a scope fall short, in fixed order.
 
     ``blobs`` has (scope, cluster, blob); a candidate counts once however many of its texts match.
+    A scope of ``requests`` that has no candidates falls short in the way ``duplicates``.
     """
     marks = blobs.groupBy(scope, "cluster").agg(F.max(mentions_any("blob", lx.INFLUENCER_WORDS)).alias("influencer"), F.max(mentions_any("blob", lx.FOREIGN_WORDS)).alias("foreign"))
     n = F.col("n")
@@ -92,7 +93,12 @@ def shortfalls(candidates: DataFrame, blobs: DataFrame, scope: str = "request_id
     found = F.array_compact(F.array(
         F.when(F.col("influencers") > n / 4, F.lit("influencers")), F.when(F.col("abroad") > n / 5, F.lit("foreign")),
         F.when(F.col("bare") > n / 2, F.lit("generic_instagram")), F.when((n > 8) & (F.col("users") < n / 3), F.lit("duplicates"))))
-    return counts.select(scope, "n", "influencers", "abroad", "bare", "users", found.alias("patterns"))
+    counted = counts.select(scope, "n", "influencers", "abroad", "bare", "users", found.alias("patterns"))
+    if requests is None:
+        return counted
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return counted.join(requests.select(scope).distinct(), scope, "full").select(
+        scope, *map(zero, ("n", "influencers", "abroad", "bare", "users")), F.coalesce("patterns", F.array(F.lit("duplicates"))).alias("patterns"))
 
 
 def valid_requests(requests: DataFrame) -> DataFrame:

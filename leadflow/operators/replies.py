@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TEXTS, LISTS, NUMBERS, CLAIMS = ("businessName", "businessType", "city"), ("reasons", "warnings"), ("fit", "credibility"), "inventedClaims"
+TEXTS, LISTS, NUMBERS, CLAIMS = ("businessName", "businessType", "city"), ("reasons", "warnings"), ("shopBotFit", "credibility"), "inventedClaims"
 
 
 def _kind(variant: Column, key: str) -> Column:
@@ -38,7 +38,7 @@ def _checked(v: Column) -> Column:
     ok = ok & (claims.isNull() | (claims.rlike("^ARRAY<") & (F.size(strings(CLAIMS)) == 0)))
     value = F.struct(
         *[F.try_variant_get(v, f"$.{k}", "string").alias(n) for k, n in zip(TEXTS, ("business_name", "business_type", "city"), strict=True)],
-        *[strings(k).alias(k) for k in LISTS], number(NUMBERS[0]).alias("fit"), number(NUMBERS[1]).alias("credibility"))
+        *[strings(k).alias(k) for k in LISTS], number(NUMBERS[0]).alias("shop_bot_fit"), number(NUMBERS[1]).alias("credibility"))
     return F.when(F.coalesce(ok, F.lit(False)), value)
 
 
@@ -51,6 +51,6 @@ def enriched(leads: DataFrame, replies: DataFrame, on: str) -> DataFrame:
     return leads.join(good, on, "left").select(
         *[c for c in leads.columns if c not in ("business_name", "business_type", "shop_bot_fit", "reason", "verification_warnings")],
         F.coalesce("r.business_name", "business_name").alias("business_name"), F.coalesce("r.business_type", "business_type").alias("business_type"),
-        F.greatest("shop_bot_fit", F.coalesce("r.fit", F.lit(0.0))).alias("shop_bot_fit"),
+        F.greatest("shop_bot_fit", F.coalesce("r.shop_bot_fit", F.lit(0.0))).alias("shop_bot_fit"),
         F.concat("reason", F.slice(F.filter(F.coalesce("r.reasons", F.array().cast("array<string>")), lambda s: s != ""), 1, 4)).alias("reason"),
         F.concat("verification_warnings", F.coalesce("r.warnings", F.array().cast("array<string>"))).alias("verification_warnings"))

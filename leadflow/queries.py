@@ -298,11 +298,13 @@ def adaptive_queries(spark: SparkSession, root: str) -> DataFrame:
 @query("failure_patterns", f"""WITH {RESOLVED}, home AS (SELECT DISTINCT h.request_id, h.cluster, f.result_idx FROM flat f JOIN homes h ON f.request_id = h.request_id AND f.key = h.key),
 marks AS (SELECT h.request_id, cluster, bool_or(regexp_matches(blob, '(?i)influencer|اینفلوئنسر|پیج شخصی|fan page')) AS i, bool_or(regexp_matches(blob, '(?i)dubai|istanbul|turkey|uae|دبی|استانبول|ترکیه')) AS f FROM home h JOIN blobs USING (result_idx) GROUP BY 1, 2),
 c AS (SELECT r.request_id, count(*) AS n, coalesce(count_if(i), 0) AS influencers, coalesce(count_if(f), 0) AS abroad, count_if(username IS NOT NULL AND website IS NULL) AS bare, count(DISTINCT username) AS users FROM resolved r LEFT JOIN marks m ON r.request_id = m.request_id AND r.cluster = m.cluster GROUP BY 1)
-SELECT request_id, n, CAST(influencers AS BIGINT) AS influencers, CAST(abroad AS BIGINT) AS abroad, CAST(bare AS BIGINT) AS bare, users, concat_ws('|', CASE WHEN influencers > n / 4 THEN 'influencers' END, CASE WHEN abroad > n / 5 THEN 'foreign' END, CASE WHEN bare > n / 2 THEN 'generic_instagram' END, CASE WHEN n > 8 AND users < n / 3 THEN 'duplicates' END) AS patterns FROM c""")
+SELECT coalesce(c.request_id, q.request_id) AS request_id, coalesce(n, 0) AS n, CAST(coalesce(influencers, 0) AS BIGINT) AS influencers, CAST(coalesce(abroad, 0) AS BIGINT) AS abroad, CAST(coalesce(bare, 0) AS BIGINT) AS bare, coalesce(users, 0) AS users, CASE WHEN n IS NULL THEN 'duplicates' ELSE concat_ws('|', CASE WHEN influencers > n / 4 THEN 'influencers' END, CASE WHEN abroad > n / 5 THEN 'foreign' END, CASE WHEN bare > n / 2 THEN 'generic_instagram' END, CASE WHEN n > 8 AND users < n / 3 THEN 'duplicates' END) END AS patterns FROM c FULL JOIN (SELECT request_id FROM search_request UNION ALL SELECT -1) q ON c.request_id = q.request_id""")
 def failure_patterns(spark: SparkSession, root: str) -> DataFrame:
     results = table(spark, root, "search_result")
+    # One more request that has no results.
+    requests = table(spark, root, "search_request").select("request_id").unionByName(spark.createDataFrame([(-1,)], "request_id long"))
     blobs = candidates.cluster_members(results, profile_host=HOST).join(results.select("request_id", "result_idx", ex.text_blob().alias("blob")), ["request_id", "result_idx"])
-    return querygen.shortfalls(candidates.resolved(results, profile_host=HOST), blobs).withColumn("patterns", F.array_join("patterns", "|"))
+    return querygen.shortfalls(candidates.resolved(results, profile_host=HOST), blobs, requests=requests).withColumn("patterns", F.array_join("patterns", "|"))
 
 
 @query("valid_requests", "SELECT request_id FROM search_request WHERE length(trim(category)) BETWEEN 2 AND 80 AND length(trim(country)) BETWEEN 2 AND 40 AND (city IS NULL OR length(trim(city)) <= 40) AND max_leads BETWEEN 1 AND 50")
@@ -383,11 +385,16 @@ def first_n_results(spark: SparkSession, root: str) -> DataFrame:
     return ordering.first_n(distinct.join(requests, "request_id"), ["request_id"], ["result_idx"], "max_leads").select("request_id", "result_idx")
 
 
-@query("lead_table", "SELECT lead_id, coalesce(business_name, username, '-') AS shown_name, coalesce(nullif(website, ''), instagram_url) AS link, reason[1] AS first_reason, coalesce(city, '-') AS shown_city FROM lead")
+@query("lead_table", """SELECT row_number() OVER (ORDER BY lead_id) AS position, lead_id, coalesce(business_name, '—') AS shown_name, CASE WHEN instagram_url <> '' AND username <> '' THEN '@' || username ELSE '—' END AS handle,
+  coalesce(city, '—') AS shown_city, coalesce(category, '—') AS shown_category, score, tier, coalesce(reason[1], '—') AS first_reason, coalesce(nullif(website, ''), nullif(instagram_url, ''), '—') AS link FROM lead""")
 def lead_table(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "lead").select(
-        "lead_id", F.coalesce("business_name", "username", F.lit("-")).alias("shown_name"), F.coalesce(F.nullif("website", F.lit("")), "instagram_url").alias("link"),
-        F.try_element_at("reason", F.lit(1)).alias("first_reason"), F.coalesce("city", F.lit("-")).alias("shown_city"))
+    """The rows of a table of leads as they are shown, numbered in their order."""
+    dash, filled = F.lit("—"), lambda c: F.coalesce(F.col(c) != "", F.lit(False))
+    rows = table(spark, root, "lead").select(
+        "lead_id", F.coalesce("business_name", dash).alias("shown_name"), F.when(filled("instagram_url") & filled("username"), F.concat(F.lit("@"), "username")).otherwise(dash).alias("handle"),
+        F.coalesce("city", dash).alias("shown_city"), F.coalesce("category", dash).alias("shown_category"), "score", "tier", F.coalesce(F.try_element_at("reason", F.lit(1)), dash).alias("first_reason"),
+        F.coalesce(F.nullif("website", F.lit("")), F.nullif("instagram_url", F.lit("")), dash).alias("link"))
+    return ordering.positions(rows, [F.col("lead_id")])
 
 
 @query("score_unpivot", " UNION ALL ".join(f"SELECT lead_id, '{n}' AS name, score_breakdown.{n} AS value FROM lead" for n, _ in lx.SCORE_WEIGHTS))
@@ -425,15 +432,15 @@ def stage_ends(spark: SparkSession, root: str) -> DataFrame:
 
 
 _REPLIES = (
-    '{"businessName": "N#", "businessType": "retail", "city": null, "reasons": ["a", "b"], "warnings": [], "fit": 70, "credibility": 55.5, "inventedClaims": []}',
+    '{"businessName": "N#", "businessType": "retail", "city": null, "reasons": ["a", "b"], "warnings": [], "shopBotFit": 70, "credibility": 55.5, "inventedClaims": []}',
     "not json",
-    '{"businessName": "N#", "city": null, "reasons": [], "warnings": [], "fit": 1, "credibility": 1}',
-    '{"businessName": null, "businessType": null, "city": "C", "reasons": [], "warnings": ["w"], "fit": 0, "credibility": 100, "inventedClaims": ["x"]}',
-    '{"businessName": "N#", "businessType": "retail", "city": null, "reasons": [], "warnings": [], "fit": "70", "credibility": 55}',
-    '{"businessName": "N#", "businessType": "retail", "city": null, "reasons": [], "warnings": [], "fit": 101, "credibility": 55}',
-    '{"businessName": "N#", "businessType": "retail", "city": null, "reasons": ["1","2","3","4","5","6","7","8","9","10","11","12","13"], "warnings": [], "fit": 7, "credibility": 5}',
-    '{"businessName": null, "businessType": null, "city": null, "reasons": [], "warnings": [], "fit": 0, "credibility": 0}',
-    '{"businessName": "N#", "businessType": "b", "city": "c", "reasons": ["r"], "warnings": [], "fit": 3, "credibility": 4, "more": {"a": 1}}',
+    '{"businessName": "N#", "city": null, "reasons": [], "warnings": [], "shopBotFit": 1, "credibility": 1}',
+    '{"businessName": null, "businessType": null, "city": "C", "reasons": [], "warnings": ["w"], "shopBotFit": 0, "credibility": 100, "inventedClaims": ["x"]}',
+    '{"businessName": "N#", "businessType": "retail", "city": null, "reasons": [], "warnings": [], "shopBotFit": "70", "credibility": 55}',
+    '{"businessName": "N#", "businessType": "retail", "city": null, "reasons": [], "warnings": [], "shopBotFit": 101, "credibility": 55}',
+    '{"businessName": "N#", "businessType": "retail", "city": null, "reasons": ["1","2","3","4","5","6","7","8","9","10","11","12","13"], "warnings": [], "shopBotFit": 7, "credibility": 5}',
+    '{"businessName": null, "businessType": null, "city": null, "reasons": [], "warnings": [], "shopBotFit": 0, "credibility": 0}',
+    '{"businessName": "N#", "businessType": "b", "city": "c", "reasons": ["r"], "warnings": [], "shopBotFit": 3, "credibility": 4, "more": {"a": 1}}',
 )
 _RAW = "CASE o_orderkey % 9 " + " ".join(f"WHEN {i} THEN replace({q(t)}, '#', CAST(o_orderkey AS VARCHAR))" for i, t in enumerate(_REPLIES)) + " END"
 
@@ -441,10 +448,10 @@ _RAW = "CASE o_orderkey % 9 " + " ".join(f"WHEN {i} THEN replace({q(t)}, '#', CA
 @query("validate_replies", f"""WITH r AS (SELECT o_orderkey, CASE WHEN json_valid({_RAW}) THEN CAST({_RAW} AS JSON) END AS j FROM orders),
 ok AS (SELECT o_orderkey, j FROM r WHERE j IS NOT NULL AND {' AND '.join(f"coalesce(json_type(j, '$.{k}') IN ('VARCHAR', 'NULL'), false)" for k in replies.TEXTS)} AND {' AND '.join(f"coalesce(json_type(j, '$.{k}') = 'ARRAY' AND json_array_length(j, '$.{k}') <= 12, false)" for k in replies.LISTS)}
   AND {' AND '.join(f"coalesce(json_type(j, '$.{k}') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND CAST(j->>'$.{k}' AS DOUBLE) BETWEEN 0 AND 100, false)" for k in replies.NUMBERS)} AND coalesce(json_array_length(j, '$.inventedClaims'), 0) = 0)
-SELECT o_orderkey, j->>'$.businessName' AS business_name, j->>'$.businessType' AS business_type, j->>'$.city' AS city, CAST(json_array_length(j, '$.reasons') AS INTEGER) AS reasons, CAST(j->>'$.fit' AS DOUBLE) AS fit, CAST(j->>'$.credibility' AS DOUBLE) AS credibility FROM ok""")
+SELECT o_orderkey, j->>'$.businessName' AS business_name, j->>'$.businessType' AS business_type, j->>'$.city' AS city, CAST(json_array_length(j, '$.reasons') AS INTEGER) AS reasons, CAST(j->>'$.shopBotFit' AS DOUBLE) AS shop_bot_fit, CAST(j->>'$.credibility' AS DOUBLE) AS credibility FROM ok""")
 def validate_replies(spark: SparkSession, root: str) -> DataFrame:
     rows = _reply_table(spark, root).select("o_orderkey", replies.parsed_reply("raw").alias("r")).where("r is not null")
-    return rows.select("o_orderkey", "r.business_name", "r.business_type", "r.city", F.size("r.reasons").alias("reasons"), "r.fit", "r.credibility")
+    return rows.select("o_orderkey", "r.business_name", "r.business_type", "r.city", F.size("r.reasons").alias("reasons"), "r.shop_bot_fit", "r.credibility")
 
 
 def _reply_table(spark: SparkSession, root: str) -> DataFrame:
@@ -477,12 +484,35 @@ def frames_round_trip(spark: SparkSession, root: str) -> DataFrame:
     return split_frames(framed, "text", "user_id long, value double").select("event_id", "event", "data.user_id", "data.value")
 
 
-@query("pipeline_leads")
+_DISTINCT = f"SELECT * FROM search_result WHERE request_id IS NOT NULL AND {_CANON} <> '' QUALIFY row_number() OVER (PARTITION BY request_id, {_CANON} ORDER BY result_idx) = 1"
+# Handles and sites tell the candidates of a request apart already; only names can repeat among them.
+_PIPELINE = f"""WITH {RESOLVED.replace('FROM search_result)', f'FROM ({_DISTINCT}))')},
+found AS (SELECT r.*, username AS instagram_url, city, max_leads FROM resolved r JOIN search_request USING (request_id)),
+{s_shop_keys('a', 'found', '*')}, {s_shop_keys('b', 'lead', 'lead_id')},
+fresh AS (SELECT * FROM a WHERE (kh IS NULL OR kh NOT IN (SELECT kh FROM b WHERE kh IS NOT NULL)) AND (kw IS NULL OR kw NOT IN (SELECT kw FROM b WHERE kw IS NOT NULL)) AND (kn IS NULL OR kn NOT IN (SELECT kn FROM b WHERE kn IS NOT NULL))),
+single AS (SELECT * FROM fresh QUALIFY kn IS NULL OR row_number() OVER (PARTITION BY request_id, kn ORDER BY seat) = 1),
+leads AS (SELECT * FROM single QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY seat) <= max_leads)"""
+
+
+@query("pipeline_leads", f"{_PIPELINE} SELECT request_id, cluster, username, business_name, bio, website, telegram, whatsapp, city, keys, results FROM leads")
 def pipeline_leads(spark: SparkSession, root: str) -> DataFrame:
-    """Results to new shops: distinct, extracted, grouped, merged, not in the archive, first n."""
-    return new_leads(table(spark, root, "search_result"), table(spark, root, "search_request"), table(spark, root, "lead"), HOST)
+    """Results to new shops: distinct, extracted, grouped, merged, not in the archive, each shop once, first n."""
+    found = new_leads(table(spark, root, "search_result"), table(spark, root, "search_request"), table(spark, root, "lead"), HOST)
+    return found.select("request_id", "cluster", "username", "business_name", "bio", "website", "telegram", "whatsapp", "city", "keys", "results")
 
 
-@query("pipeline_counts")
+@query("pipeline_counts", f"{_PIPELINE} SELECT request_id, count(*) AS leads, CAST(sum(results) AS BIGINT) AS results FROM leads GROUP BY 1")
 def pipeline_counts(spark: SparkSession, root: str) -> DataFrame:
     return pipeline_leads(spark, root).groupBy("request_id").agg(F.count("*").alias("leads"), F.sum("results").alias("results"))
+
+
+@query("insert_new", f"""WITH RECURSIVE {s_shop_keys('a', 'lead_batch', 'lead_id')}, {s_shop_keys('b', 'lead', 'lead_id')},
+hit AS (SELECT a.lead_id FROM a JOIN b ON a.kh = b.kh UNION SELECT a.lead_id FROM a JOIN b ON a.kw = b.kw UNION SELECT a.lead_id FROM a JOIN b ON a.kn = b.kn),
+cand AS (SELECT lead_id, row_number() OVER (ORDER BY lead_id) AS n, list_filter(['h' || kh, 'w' || kw, 'n' || kn], lambda k: k IS NOT NULL) AS ks FROM a WHERE lead_id NOT IN (SELECT lead_id FROM hit)),
+walk AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS seen, CAST(NULL AS BIGINT) AS lead_id, false AS kept
+  UNION ALL SELECT c.n, CASE WHEN list_has_any(w.seen, c.ks) THEN w.seen ELSE list_concat(w.seen, c.ks) END, c.lead_id, NOT list_has_any(w.seen, c.ks) FROM walk w JOIN cand c ON c.n = w.n + 1)
+SELECT lead_id FROM walk WHERE kept""")
+def insert_new(spark: SparkSession, root: str) -> DataFrame:
+    """The batch rows that an insert one after the other adds to the archive."""
+    fresh = keys.not_in(table(spark, root, "lead_batch"), table(spark, root, "lead"), HOST)
+    return keys.first_of_each_shop(fresh, ["lead_id"], profile_host=HOST).select("lead_id")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.text import PROFILE_HOST
-from ..operators.keys import KEYS, first_per_key, not_in, shop_keys
+from ..operators.keys import first_of_each_shop, not_in
+from ..plans.durable import stored
 from ..schema import BREAKDOWN, LEAD, LEAD_COLUMNS
 
 
@@ -68,18 +69,17 @@ def listed(leads: DataFrame) -> tuple[DataFrame, int]:
 def add_new(archive_path: str, leads: DataFrame, order: str, profile_host: str = PROFILE_HOST) -> DataFrame:
     """Append the leads that the Parquet archive lacks, one of each shop; returns them.
 
-    One append for a batch replaces a rewrite for every lead. Among the new ones the first in
-    ``order`` stays for each key.
+    One append for a batch replaces a rewrite for every lead; which leads stay is as if they had been
+    added one after the other in ``order``, which tells them apart.
     """
     spark = leads.sparkSession
     try:
         known = spark.read.parquet(archive_path)
-    except AnalysisException:
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
         known = leads.limit(0)
-    fresh = shop_keys(not_in(leads, known, profile_host), profile_host)
-    for key in KEYS:
-        with_key = first_per_key(fresh.where(f"{key} is not null"), [key], [order])
-        fresh = with_key.unionByName(fresh.where(f"{key} is null"))
-    fresh = fresh.select(*leads.columns)
+    # Written down, since what is known changes with the append.
+    fresh = stored(first_of_each_shop(not_in(leads, known, profile_host), [order], profile_host=profile_host), "fresh-leads")
     fresh.write.mode("append").parquet(archive_path)
     return fresh

@@ -144,7 +144,7 @@ def test_valid_requests(spark):
     assert sorted(r.request_id for r in querygen.valid_requests(df).collect()) == [1, 5]
 
 
-GOOD = '{"businessName":"N","businessType":null,"city":null,"reasons":["r"],"warnings":[],"fit":70,"credibility":5.5'
+GOOD = '{"businessName":"N","businessType":null,"city":null,"reasons":["r"],"warnings":[],"shopBotFit":70,"credibility":5.5'
 
 
 @pytest.mark.parametrize("raw,ok", [
@@ -199,3 +199,37 @@ def test_shapes(spark):
     assert shapes.unpivoted(df, ["id"], "s").count() == 4
     counted = shapes.counted(df, [], present=F.col("s").isNotNull()).first()
     assert (counted.rows, counted.present) == (2, 1)
+
+
+def _sequential(rows):
+    kept, seen = [], set()
+    for i, *parts in rows:
+        own = {(n, p) for n, p in enumerate(parts) if p}
+        if not own & seen:
+            kept.append(i)
+            seen |= own
+    return kept
+
+
+def test_first_of_each_shop_is_the_sequential_loop(spark):
+    rng = random.Random(11)
+    kind = "i long, username string, instagram_url string, website string, business_name string, city string"
+    for size, names in ((12, 5), (60, 20), (60, 60)):
+        rows = [(i, *(None if rng.random() < 0.4 else f"{k}{rng.randrange(names)}" for k in "abc")) for i in range(size)]
+        df = spark.createDataFrame([(i, u, None, w and f"https://{w}.example", n, "X") for i, u, w, n in rows], kind)
+        found = sorted(r.i for r in keys.first_of_each_shop(df.repartition(3), ["i"]).collect())
+        assert found == _sequential(rows)
+
+
+def test_a_row_left_out_leaves_nobody_out(spark):
+    kind = "i long, username string, instagram_url string, website string, business_name string, city string"
+    df = spark.createDataFrame([(1, None, None, "w1.example", None, None), (2, "h1", None, "w1.example", None, None), (3, "h1", None, None, None, None), (4, None, None, None, None, None), (5, None, None, None, None, None)], kind)
+    assert sorted(r.i for r in keys.first_of_each_shop(df, ["i"]).collect()) == [1, 3, 4, 5]
+    assert keys.first_of_each_shop(df.limit(0), ["i"]).count() == 0
+
+
+def test_a_request_without_candidates_falls_short(spark):
+    none = spark.createDataFrame([], "request_id long, cluster string, username string, website string")
+    blobs = spark.createDataFrame([], "request_id long, cluster string, blob string")
+    got = querygen.shortfalls(none, blobs, requests=spark.createDataFrame([(7,)], "request_id long")).collect()
+    assert [(r.request_id, r.n, r.patterns) for r in got] == [(7, 0, ["duplicates"])]

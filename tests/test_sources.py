@@ -36,7 +36,7 @@ def test_reply_providers(spark):
 
     df = spark.createDataFrame([(1, "N", "u", None, "x" * 5000), (2, None, None, None, None)], "lead_id long, business_name string, username string, website string, text string")
     mock = rp.chosen_replies(None, {}).replies(df, "lead_id").select("lead_id", parsed_reply("raw").alias("r")).orderBy("lead_id").collect()
-    assert [(r.r.business_name, r.r.business_type, r.r.fit) for r in mock] == [("N", "retail", 0.0), (None, "retail", 0.0)]
+    assert [(r.r.business_name, r.r.business_type, r.r.shop_bot_fit) for r in mock] == [("N", "retail", 0.0), (None, "retail", 0.0)]
 
     def ask(request):
         if "null, \"text\": \"\"" in request:
