@@ -1,7 +1,7 @@
 """Freely typed values mapped to a reference list (problem 4).
 
-Method: token-level repair. Every distinct token (and every run of adjacent tokens written as one,
-which mends values split or joined by mistake) is joined to the reference vocabulary by edit
+Method: token-level repair. Every distinct token (and every run of adjacent tokens written as one that
+is not longer than the longest entry, which mends values split or joined by mistake) is joined to the reference vocabulary by edit
 distance; the join is an equi-join on deletion neighbourhoods, followed by the exact distance. The
 repaired tokens vote for complete entries by soft TF-IDF. All of it runs on distinct values, which
 are joined back to the rows at the end.
@@ -16,13 +16,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.durable import stored
 from ..sources.tables import table
 from .lookalikes import BLANKS, IGNORABLE, JOINER, by_table, language_of
 
 #: Share of an entry's weight that repaired tokens must cover.
 LEAST_COVER = 0.7
-#: Adjacent tokens that may be written as one.
-LONGEST_RUN = 4
 #: Edits allowed in a token of up to this many letters, and in a longer one.
 SHORT_TOKEN, SHORT_EDITS, LONG_EDITS = 4, 1, 2
 
@@ -42,11 +41,18 @@ def tokens_of(value: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(spaced)]
 
 
-def runs_of(tokens: list[str]) -> list[tuple[str, int, int]]:
-    """(text, first token, number of tokens) of each run that counts as one token."""
-    return [
-        ("".join(tokens[i : i + n]), i, n)
-        for n in range(1, LONGEST_RUN + 1) for i in range(len(tokens) - n + 1)]
+def runs_of(tokens: list[str], longest: int) -> list[tuple[str, int, int]]:
+    """(text, first token, number of tokens) of each token, and of each run of up to ``longest`` letters."""
+    found = []
+    for i, token in enumerate(tokens):
+        found.append((token, i, 1))
+        text = token
+        for n in range(2, len(tokens) - i + 1):
+            text += tokens[i + n - 1]
+            if len(text) > longest:
+                break
+            found.append((text, i, n))
+    return found
 
 
 def edits_allowed(token: str) -> int:
@@ -79,22 +85,26 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return min(row[-1], most + 1)
 
 
-def _tokenise(batches):
-    for batch in batches:
-        rows = [runs_of(tokens_of(v)) for v in batch.column("value").to_pylist()]
-        kind = pa.list_(pa.struct([("gram", pa.string()), ("first", pa.int32()), ("width", pa.int32())]))
-        grams = pa.array([[{"gram": g, "first": i, "width": n} for g, i, n in row] for row in rows], kind)
-        yield pa.RecordBatch.from_arrays([*batch.columns, grams], names=[*batch.schema.names, "grams"])
+def _tokenise(longest: int):
+    def run(batches):
+        for batch in batches:
+            rows = [runs_of(tokens_of(v), longest) for v in batch.column("value").to_pylist()]
+            kind = pa.list_(pa.struct([("gram", pa.string()), ("first", pa.int32()), ("width", pa.int32())]))
+            grams = pa.array([[{"gram": g, "first": i, "width": n} for g, i, n in row] for row in rows], kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns, grams], names=[*batch.schema.names, "grams"])
 
+    return run
 
-def _spread(batches):
-    """Each token with its deletion neighbourhood."""
-    for batch in batches:
-        lists, tokens = [], batch.column("token").to_pylist()
-        for token in tokens:
-            # A long run of tokens matches no entry; its exact form is enough.
-            lists.append(sorted(neighbours(token)) if len(token) <= 40 else [token])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.string()))], names=[*batch.schema.names, "near"])
+
+def _spread(longest: int):
+    """Each token with its deletion neighbourhood; one that no entry can be a few edits from has none."""
+
+    def run(batches):
+        for batch in batches:
+            lists = [sorted(neighbours(token)) if len(token) <= longest else [] for token in batch.column("token").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.string()))], names=[*batch.schema.names, "near"])
+
+    return run
 
 
 def _measure(batches):
@@ -105,14 +115,14 @@ def _measure(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, d, pa.array(most, pa.int32())], names=[*batch.schema.names, "d", "most"])
 
 
-def _near(tokens: DataFrame) -> DataFrame:
-    return tokens.mapInArrow(_spread, "field string, token string, near array<string>").select("field", "token", F.explode("near").alias("near"))
+def _near(tokens: DataFrame, longest: int) -> DataFrame:
+    return tokens.mapInArrow(_spread(longest), "field string, token string, near array<string>").select("field", "token", F.explode("near").alias("near"))
 
 
 def reference_entries(names: DataFrame) -> DataFrame:
     """``field, ref_id, entry, ref, idf, weight``: tokens of each name, and the name as one word."""
     runs = names.select("field", "ref_id", F.col("name").alias("value")).distinct().mapInArrow(
-        _tokenise, "field string, ref_id long, value string, grams array<struct<gram:string,first:int,width:int>>")
+        _tokenise(0), "field string, ref_id long, value string, grams array<struct<gram:string,first:int,width:int>>")
     entries = runs.withColumn("n", F.size(F.filter("grams", lambda g: g.width == 1))).where("n > 0")
     words = entries.select("field", "ref_id", F.concat(F.lit("w:"), "value").alias("entry"), F.explode(F.array_distinct(F.transform(F.filter("grams", lambda g: g.width == 1), lambda g: g.gram))).alias("ref"))
     whole = entries.where("n > 1").select("field", "ref_id", F.concat(F.lit("c:"), "value").alias("entry"), F.array_join(F.transform(F.filter("grams", lambda g: g.width == 1), lambda g: g.gram), "").alias("ref"))
@@ -133,16 +143,21 @@ def match_values(values: DataFrame, names: DataFrame, least_cover: float = LEAST
     entries go to the smaller ref_id. Values of any length are read whole; repeated rows count once.
     """
     distinct = values.select("field", "value").where("value is not null").distinct()
-    entries = reference_entries(names)
-    grams = distinct.mapInArrow(_tokenise, "field string, value string, grams array<struct<gram:string,first:int,width:int>>")
-    flat = grams.select("field", "value", F.explode("grams").alias("g")).select("field", "value", "g.*")
+    entries = stored(reference_entries(names), "entries")
+    # One number: no longer token can be within the allowed edits of an entry.
+    longest = (entries.agg(F.max(F.length("ref"))).first()[0] or 0) + LONG_EDITS
+    grams = distinct.mapInArrow(_tokenise(longest), "field string, value string, grams array<struct<gram:string,first:int,width:int>>")
+    flat = stored(grams.select("field", "value", F.explode("grams").alias("g")).select("field", "value", "g.*"), "grams")
     tokens = flat.groupBy("field", F.col("gram").alias("token")).agg(F.countDistinct("value").alias("df"))
     total = distinct.groupBy("field").agg(F.count("*").alias("n"))
     # The repair join: equal members of the deletion neighbourhoods, then the exact distance.
-    vocabulary = _near(entries.select("field", F.col("ref").alias("token")).distinct()).withColumnRenamed("token", "ref")
-    pairs = _near(tokens.select("field", "token")).join(vocabulary, ["field", "near"]).select("field", "token", "ref").distinct()
-    repaired = pairs.mapInArrow(_measure, "field string, token string, ref string, d int, most int").where("d <= most").select(
+    vocabulary = _near(entries.select("field", F.col("ref").alias("token")).distinct(), longest).withColumnRenamed("token", "ref")
+    pairs = _near(tokens.select("field", "token"), longest).join(vocabulary, ["field", "near"]).select("field", "token", "ref").distinct()
+    # Two swaps are four edits without swaps: a bound inside the JVM before the exact distance.
+    close = pairs.where(F.levenshtein("token", "ref", 2 * LONG_EDITS) >= 0)
+    repaired = close.mapInArrow(_measure, "field string, token string, ref string, d int, most int").where("d <= most").select(
         "field", "token", "ref", (1 - F.col("d") / (F.length("ref") + 1)).alias("near"))
+    repaired = stored(repaired, "repaired")
     weights = tokens.join(total, "field").select("field", "token", F.log1p(F.col("n") / F.col("df")).alias("idf"))
     weighed = flat.withColumnRenamed("gram", "token").join(weights, ["field", "token"])
     norms = weighed.where("width = 1").groupBy("field", "value").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm_v"))

@@ -59,3 +59,11 @@ def test_edit_distance(a, b, most):
 def test_neighbourhoods_meet_within_the_allowed_edits(a, b):
     if distance(a, b) <= min(m.edits_allowed(a), m.edits_allowed(b)):
         assert m.neighbours(a) & m.neighbours(b)
+
+
+def test_tokens_and_runs_of_any_length(spark):
+    long = "".join("abcdefghijklmnopqrstuvwxyz"[(7 * i * i + 3 * i) % 26] for i in range(60))
+    names = [*NAMES, ("city", 8, long)]
+    slip = long[:30] + "q" + long[31:]
+    want = {("city", "T a l u d a s h t"): 1, ("city", "Ta lu da sh t, Iran"): 1, ("city", slip): 8, ("city", " ".join(slip)): 8}
+    assert matched(spark, list(want), names) == want
