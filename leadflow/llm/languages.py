@@ -31,6 +31,8 @@ from .lookalikes import TO_PERSIAN
 SAMPLE_DOCUMENTS = 2000
 SAMPLE_SENTENCES = 4
 SAMPLE_LETTERS = 600
+#: Slices by hash in which the sample is drawn.
+SLICES = 4
 #: Network size, bytes read at a step, positions in a batch of sentences.
 HIDDEN, STRIDE, BATCH_POSITIONS = 32, 4, 60_000
 #: Updates of the first fit and of the second, whatever the size of the sample.
@@ -332,9 +334,10 @@ def label_languages(df: DataFrame, id_col: str, text_col: str, lang_col: str, sa
     """
     hashed = df.where(F.length(text_col) > 20).select(
         F.col(text_col).alias("t"), _meant(F.col(lang_col)).alias("l"), F.xxhash64(id_col, text_col).alias("h")).where("l is not null")
-    # Spark keeps only the first rows of each label before the shuffle (window group limit).
-    rank = F.row_number().over(Window.partitionBy("l").orderBy("h"))
-    drawn = hashed.withColumn("k", rank).where(F.col("k") <= sample).select("t", "l").collect()
+    # Spark keeps only the first rows of each label before the shuffle (window group limit), which it does for
+    # limits of up to a thousand: hence slices.
+    rank = F.row_number().over(Window.partitionBy("l", F.pmod("h", F.lit(SLICES))).orderBy("h"))
+    drawn = hashed.withColumn("k", rank).where(F.col("k") <= -(-sample // SLICES)).select("t", "l").collect()
     weights = kept_network(df.sparkSession, [(r.t, r.l) for r in drawn]) if drawn else None
 
     def run(batches):
