@@ -1,9 +1,13 @@
 """Text that looks the same but is made of other characters (problem 2).
 
-Method: the corpus gives a vocabulary of clean spellings. Tries over it, one for each slice of the
-look-alike classes, are traversed with a weighted edit automaton that gives zero cost to look-alikes
-and ignorable characters and one to any other edit; the cheapest spelling within the budget becomes
-the token's. The budget is always 0 here, which leaves an equality lookup on the look-alike class. Tokens that no spelling matches are put right by table.
+Method: the corpus gives a vocabulary of clean spellings. Every suspect token is walked, as it stands,
+over tries of them by a weighted edit automaton: edges between look-alikes cost nothing, ignorable
+characters are read for nothing, any other edit costs one. A short token must be met at no cost, a
+longer one may hold one edit, which is left as it is: the spelling then tells what the look-alikes
+around it stand for. The cheapest spelling, among these the most frequent, makes the token's form,
+and with it decides whether the value is a case; only tokens that no spelling matches are put right
+by table. A spelling is dealt to the slices of its whole class and of both halves of it, one of which
+is whole in any token an edit away.
 
 One pass over the values does both jobs: Arrow's regular expressions (linear time, over whole
 batches) pick out the values with a character of interest, which are dissected, and the words of all
@@ -98,6 +102,7 @@ _TOKEN = regex.compile(f"[\\p{{L}}\\p{{M}}\\p{{N}}{IGNORABLE}{JOINER}_]+")
 _CYRILLIC = regex.compile("[\\u0400-\\u052f]")
 _ARABIC = regex.compile(f"[{_ARABIC_LETTER}]")
 _DROP = str.maketrans("", "", IGNORABLE)
+_NO_JOINER = regex.compile(f"(?<![{_ARABIC_LETTER}\\u064B-\\u0652]){JOINER}|{JOINER}(?![{_ARABIC_LETTER}])")
 _SPACE = str.maketrans(dict.fromkeys(BLANKS, " "))
 
 
@@ -107,7 +112,8 @@ def _plain(token: str) -> str:
     plain = unicodedata.normalize("NFC", unicodedata.normalize("NFKC", token.translate(_DROP)))
     while JOINER * 2 in plain:
         plain = plain.replace(JOINER * 2, JOINER)
-    return plain
+    # Joiners count only between two letters of the Arabic script.
+    return _NO_JOINER.sub("", plain) if JOINER in plain else plain
 
 
 def shape(token: str) -> str:
@@ -144,8 +150,6 @@ def by_table(token: str, language: str) -> tuple[str, str, bool]:
     """(form by table, language of the token, whether the token is surely a disguise)."""
     bare = token.translate(_DROP)
     plain = _plain(token)
-    # Joiners count only between two letters of the Arabic script.
-    plain = regex.sub(f"(?<![{_ARABIC_LETTER}\\u064B-\\u0652]){JOINER}|{JOINER}(?![{_ARABIC_LETTER}])", "", plain)
     sure = plain != bare or bare != token
     if _ARABIC.search(plain) or regex.search("[٠-٩]", plain):
         own = "ar" if language == "ar" else "fa"
@@ -216,53 +220,97 @@ def _gap(text: str) -> str:
         for c in text.translate(_SPACE))
 
 
+#: Letters from which a token may differ from a spelling by one edit.
+EDIT_LETTERS = 6
+#: Letters that look like each other, by class.
+_TWINS: dict[str, tuple[str, ...]] = {}
+for _c, _v in (*_LATIN_OF.items(), *TO_PERSIAN.items()):
+    _TWINS[_v] = (*_TWINS.get(_v, (_v,)), _c)
+_OWN = {"fa": TO_PERSIAN, "ar": TO_ARABIC, "la": _LATIN_OF, "ru": {}}
+
+
+def budget_of(word: str) -> int:
+    return 1 if len(word) >= EDIT_LETTERS else 0
+
+
+def slices_of(word: str) -> list[str]:
+    """The slices that hold every spelling within the budget of a token of this class.
+
+    If the edit lies in the later half of a spelling of ``n`` letters, its first ``n // 2`` letters begin the
+    token, else its last ``n // 2`` letters end it; ``n`` is that of the token, one more or one less.
+    """
+    found = ["=" + word]
+    if budget_of(word):
+        n = len(word)
+        for half in sorted({(n - 1) // 2, n // 2, (n + 1) // 2}):
+            found += ["<" + word[:half], ">" + word[n - half :]]
+    return found
+
+
+def spelling_slices(folded: Column) -> Column:
+    """The slices of a clean spelling, by its class."""
+    half = F.floor(F.length(folded) / 2).cast("int")
+    halves = F.array(F.concat(F.lit("<"), F.substring(folded, F.lit(1), half)), F.concat(F.lit(">"), F.substring(folded, F.length(folded) - half + 1, half)))
+    return F.concat(F.array(F.concat(F.lit("="), folded)), F.when(F.length(folded) >= EDIT_LETTERS - 1, halves).otherwise(F.array().cast("array<string>")))
+
+
 class LookalikeTrie:
-    """Spellings by look-alike class, searched by a weighted edit automaton."""
+    """Clean spellings as they are written, searched by a weighted edit automaton."""
 
-    def __init__(self) -> None:
+    def __init__(self, language: str = "la") -> None:
         self.root: dict = {}
+        self.own = _OWN[language]
 
     def add(self, spelling: str, weight: int) -> None:
         node = self.root
-        for c in shape(spelling):
+        for c in spelling:
             node = node.setdefault(c, {})
-        best = node.get("")
-        if best is None or (weight, spelling) > (best[0], best[1]):
-            node[""] = (weight, spelling)
-
-    def search(self, token: str, budget: int = 0) -> str | None:
-        """The cheapest spelling: look-alikes and ignorables cost 0, other edits 1 each."""
-        word = shape(token)
-        frontier = {(0, id(self.root)): (0, self.root)}
-        found: list[tuple[int, int, str]] = []
+        node[""] = weight
+
+    def search(self, token: str, budget: int | None = None) -> tuple[int, int, str] | None:
+        """(cost, weight, form) of the cheapest spelling: look-alikes and ignorables cost 0, other edits 1.
+
+        The form is the spelling, but for the edited letter, which stays the token's own.
+        """
+        word = _plain(token)
+        budget = budget_of(word) if budget is None else budget
+        frontier = {(0, id(self.root)): (0, "", self.root)}
+        best: tuple[int, int, str] | None = None
         while frontier:
             following: dict = {}
 
-            def reach(i: int, node: dict, cost: int) -> None:
+            def reach(i: int, node: dict, cost: int, form: str) -> None:
                 key = (i, id(node))
                 if cost <= budget and (key not in following or following[key][0] > cost):  # noqa: B023
-                    following[key] = (cost, node)  # noqa: B023
+                    following[key] = (cost, form, node)  # noqa: B023
 
-            for (i, _), (cost, node) in frontier.items():
+            for (i, _), (cost, form, node) in frontier.items():
                 if i == len(word) and "" in node:
-                    found.append((cost, -node[""][0], node[""][1]))
+                    found = (cost, node[""], form)
+                    if best is None or (-cost, found[1], form) > (-best[0], best[1], best[2]):
+                        best = found
                 if i < len(word):
-                    if (child := node.get(word[i])) is not None:
-                        reach(i + 1, child, cost)
+                    c = word[i]
+                    kind = TO_PERSIAN.get(c) or _LATIN_OF.get(c, c)
+                    twins = [x for x in _TWINS.get(kind, (c,)) if x in node]
+                    for x in twins:
+                        reach(i + 1, node[x], cost, form + x)
                     if cost < budget:
-                        reach(i + 1, node, cost + 1)
+                        kept = form + self.own.get(c, c)
+                        reach(i + 1, node, cost + 1, kept)
+                        for x, child in node.items():
+                            if x and x not in twins:
+                                reach(i + 1, child, cost + 1, kept)
                 if cost < budget:
-                    for c, child in node.items():
-                        if c:
-                            reach(i, child, cost + 1)
-                            if i < len(word) and c != word[i]:
-                                reach(i + 1, child, cost + 1)
+                    for x, child in node.items():
+                        if x:
+                            reach(i, child, cost + 1, form)
             frontier = following
-        return min(found)[2] if found else None
+        return best
 
 
-_ASKS = "array<struct<at:int,token:string,fixed:string,lang:string,sure:boolean,slice:string>>"
-_ASK_TYPE = pa.list_(pa.struct([("at", pa.int32()), ("token", pa.string()), ("fixed", pa.string()), ("lang", pa.string()), ("sure", pa.bool_()), ("slice", pa.string())]))
+_ASKS = "array<struct<at:int,token:string,fixed:string,lang:string,sure:boolean,slices:array<string>>>"
+_ASK_TYPE = pa.list_(pa.struct([("at", pa.int32()), ("token", pa.string()), ("fixed", pa.string()), ("lang", pa.string()), ("sure", pa.bool_()), ("slices", pa.list_(pa.string()))]))
 #: Words that a task counts before it passes the counts on.
 COUNTED_WORDS = 100_000
 _WORD = regex.compile(f"[\\p{{L}}\\p{{M}}\\p{{N}}{JOINER}]+")
@@ -287,7 +335,7 @@ def _dissect_batches(keys: int):
                 parts.append(p)
                 places = {at for at, *_ in a}
                 seen.update(_WORD.findall(" ".join(x for i, x in enumerate(p) if i not in places)))
-                asks.append([{"at": at, "token": t, "fixed": f, "lang": g, "sure": s, "slice": shape(t)} for at, t, f, g, s in a])
+                asks.append([{"at": at, "token": t, "fixed": f, "lang": g, "sure": s, "slices": slices_of(shape(t))} for at, t, f, g, s in a])
             n = rows.num_rows
             yield pa.RecordBatch.from_arrays(
                 [*[rows.column(i) for i in range(keys + 1)], pa.array(parts, pa.list_(pa.string())), pa.array(asks, _ASK_TYPE), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())],
@@ -309,15 +357,18 @@ def _counted(seen: Counter, names: list[str], kinds: list[pa.DataType]) -> pa.Re
 
 
 def _resolve(_key, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-    """One slice of the classes: a trie for each language, then each distinct token once."""
-    tries: dict[str, LookalikeTrie] = {}
-    for lang, word, n in zip(known["lang"], known["word"], known["n"], strict=True):
-        tries.setdefault(lang, LookalikeTrie()).add(word, n)
+    """Slices of the classes: a trie for each slice and language, over which its tokens are walked."""
+    tries: dict[tuple[str, str], LookalikeTrie] = {}
+    for part, lang, word, n in zip(known["slice"], known["lang"], known["word"], known["n"], strict=True):
+        if (part, lang) not in tries:
+            tries[part, lang] = LookalikeTrie(lang)
+        tries[part, lang].add(word, n)
     answers = []
-    for token, fixed, lang, sure in zip(asked["token"], asked["fixed"], asked["lang"], asked["sure"], strict=True):
-        spelling = tries[lang].search(token) if lang in tries else None
-        answers.append(spelling if spelling is not None else fixed if sure else token)
-    return pd.DataFrame({"token": asked["token"], "lang": asked["lang"], "sure": asked["sure"], "canonical": answers})
+    for part, token, lang in zip(asked["slice"], asked["token"], asked["lang"], strict=True):
+        found = tries[part, lang].search(token) if (part, lang) in tries else None
+        if found is not None:
+            answers.append((token, lang, *found))
+    return pd.DataFrame(answers, columns=["token", "lang", "cost", "n", "form"])
 
 
 # The letters of the clean vocabulary, by language.
@@ -347,17 +398,21 @@ def canonical_values(values: DataFrame, keys: list[str], value: str = "value", p
     words = passed.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
 
     asks = doubtful.select(*keys, F.explode("asks").alias("a")).select(*keys, "a.*")
-    distinct = asks.groupBy("token", "lang", "sure", "slice", "fixed").count().drop("count")
+    distinct = asks.groupBy("token", "lang", "sure", "slices", "fixed").count().drop("count")
     tagged = words.select("word", "n", F.explode(F.array_compact(F.array(*[F.when(F.col("word").rlike(p), F.lit(g)) for g, p in _CLEAN.items()]))).alias("lang"))
     folded = F.translate("word", "".join(_LATIN_OF) + "".join(TO_PERSIAN), "".join(_LATIN_OF.values()) + "".join(TO_PERSIAN.values()))
-    # Only spellings of a class that is asked for travel on.
-    known = tagged.withColumn("slice", folded).join(distinct.select("slice").distinct(), "slice", "left_semi")
+    asked = distinct.select("token", "lang", F.explode("slices").alias("slice")).distinct()
+    # Only spellings of a slice that is asked for travel on.
+    known = tagged.select("word", "n", "lang", F.explode(spelling_slices(folded)).alias("slice")).join(asked.select("slice").distinct(), "slice", "left_semi")
     n = partitions_of(spark)
     bucket = F.pmod(F.xxhash64("slice"), F.lit(n)).alias("b")
-    resolved = (
-        distinct.select(bucket, "token", "fixed", "lang", "sure").groupBy("b")
-        .cogroup(known.select(bucket, "word", "n", "lang").groupBy("b"))
-        .applyInPandas(_resolve, "token string, lang string, sure boolean, canonical string"))
+    walked = (
+        asked.select(bucket, "slice", "token", "lang").groupBy("b")
+        .cogroup(known.select(bucket, "slice", "word", "n", "lang").groupBy("b"))
+        .applyInPandas(_resolve, "token string, lang string, cost int, n long, form string"))
+    spelt = walked.groupBy("token", "lang").agg(F.max_by("form", F.struct(-F.col("cost"), "n", "form")).alias("form"))
+    resolved = distinct.select("token", "lang", "sure", "fixed").distinct().join(spelt, ["token", "lang"], "left").select(
+        "token", "lang", "sure", F.coalesce("form", F.when(F.col("sure"), F.col("fixed")).otherwise(F.col("token"))).alias("canonical"))
     fixes = asks.join(resolved, ["token", "lang", "sure"]).where(F.col("canonical") != F.col("token")).groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("at", "canonical"))).alias("fixes"))
     rebuilt = F.array_join(F.transform("parts", lambda p, i: F.coalesce(F.try_element_at("fixes", i), p)), "")

@@ -74,14 +74,47 @@ def test_odd_characters_alone_in_a_value(spark):
 
 
 def test_trie_search():
-    trie = k.LookalikeTrie()
-    for word, n in (("cope", 3), ("cape", 9), ("قیمت", 2)):
+    trie = k.LookalikeTrie("la")
+    for word, n in (("cope", 5), ("cape", 2), ("copied", 1), ("capital", 3)):
         trie.add(word, n)
-    assert trie.search("сop​e") == "cope"
-    assert trie.search("قيمت") == "قیمت"
+    assert trie.search("с\u200bоре") == (0, 5, "cope")
     assert trie.search("cqpe") is None
-    assert trie.search("cqpe", 1) == "cape"
-    assert trie.search("coppe", 1) == "cope" and trie.search("cop", 1) == "cope"
+    # An edit costs one and stays as it is; what looks alike around it is read by the spelling.
+    assert trie.search("сqре", 1) == (1, 5, "cqpe")
+    assert trie.search("соppе", 1) == (1, 5, "coppe") and trie.search("соp", 1) == (1, 5, "cop")
+    assert trie.search("сарitаll") == (1, 3, "capitall") and trie.search("сарitаlls") is None
+    persian = k.LookalikeTrie("fa")
+    persian.add("قیمت", 1)
+    assert persian.search("قيمت") == (0, 1, "قیمت")
+
+
+def test_slices_hold_every_spelling_within_the_budget(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    words = list({"".join(rng.choice("abcde") for _ in range(rng.randrange(2, 12))): None for _ in range(300)})
+    held = {r.w: set(r.s) for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", k.spelling_slices(F.col("w")).alias("s")).collect()}
+    for word in words:
+        at, c = rng.randrange(len(word)), rng.choice("abcde")
+        for token in (word, word[:at] + c + word[at:], word[:at] + c + word[at + 1 :], word[:at] + word[at + 1 :], word + c):
+            trie = k.LookalikeTrie("la")
+            trie.add(word, 1)
+            if trie.search(token):
+                assert held[word] & set(k.slices_of(token)), (word, token)
+
+
+def test_without_the_tries_cases_are_lost(spark, monkeypatch):
+    # Wholly of twins: the table cannot tell; with one edit only the weighted automaton can.
+    odd = ["they ѕсоор as well", "this is our сорах", "this is our сарасеѕ", "this is our сараасеѕ"]
+    clean = ["they scoop as well", "copax capaces scoop"]
+    got = canonical(spark, [*clean, *odd])[len(clean) :]
+    assert got[1:] == ["this is our copax", "this is our capaces", "this is our capaaces"]
+    monkeypatch.setattr(k, "spelling_slices", lambda folded: k.F.array(k.F.lit("nothing")))
+    bare = canonical(spark, [*clean, *odd])[len(clean) :]
+    assert bare[1] == odd[1] and bare != got
+
 
 
 def test_queries_agree_on_the_test_tables(spark, root):
