@@ -76,6 +76,25 @@ def test_a_host_that_turns_out_to_be_shared(spark):
     assert run(spark, [], batches) == {13: 10, 14: 11, 21: 20, 22: 20}
 
 
+def test_waiting_batches_in_one_pass(spark):
+    """One pass over all that waits gives what one batch after the other gives, also where a host looks shared only for a while."""
+    history = [(1, "foo.barbaz", None, None, 0), (2, None, None, "https://late.example/firstshop", 0), (3, "bidak", None, None, 0)]
+    batches = [
+        *[(100 + i, None, None, f"https://passing.example/page{c}", 1 + i % 2) for i, c in enumerate("abcd")], *[(110 + i, None, None, f"https://passing.example/page{'abcd'[i % 4]}", 3) for i in range(12)],
+        (130, "pagea", None, None, 4), (131, "secondshop", None, "https://late.example/secondshop", 2), (132, "firstshop", None, None, 2), (133, "thirdplace", None, "https://late.example/thirdplace", 5), (134, None, None, "late.example/secondshpo", 5),
+        (140, "foobabraz", None, None, 2), (141, "foobabra", None, None, 1), (142, "bidka", None, None, 5), (143, "newaccount", None, None, 1), (144, "newacount", None, "https://newaccount.example", 5), (145, None, None, "https://newaccount.example/x", 2),
+        (150, "beforeall", None, None, -1), (151, "beforeal", None, None, 1),
+    ]
+    lead, new = (spark.createDataFrame([(*r, "clash") for r in rows], KIND) for rows in (history, batches))
+    index = b.ShopIndex(spark, stored_path(spark, "test-waiting"), 4)
+    index.add(lead, 0, accepted=True)
+    index.add(new, F.col("batch_id") + 2)
+    assert len(index.parts) == 2
+    found = {r.id: (r.known_id, r.batch) for r in index.known().where("batch > 0 and known_id < id").collect()}
+    assert {k: v for k, (v, _) in found.items()} == run(spark, history, [(*r[:4], r[4] + 1) for r in batches])
+    assert found[130] == (100, 6) and found[132][0] == 2 and found[140][0] == 1 and found[142][0] == 3 and found[145][0] == 143 and found[151][0] == 150
+
+
 def test_slips_of_short_accounts(spark):
     history = [(1, "bidak", None, None, 0), (2, "zofezilerita", None, None, 0), (3, "abc", None, None, 0)]
     assert run(spark, history, [(11, "bidka", None, None, 1), (12, "zofezilexrita", None, None, 1), (13, "bida", None, None, 2), (14, "abd", None, None, 2), (15, "bidak1", None, None, 2)]) == {11: 1, 12: 2, 13: 1}
